@@ -9,13 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import encode
+
+    return encode(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe_codec": op4_bpe_codec,
     "op6_source_mixing": op6_source_mixing,
+    "op7_token_files": op7_token_files,
 }
 ORACLES: dict[str, str] = {}
