@@ -15,6 +15,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import encode
 
@@ -35,6 +42,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_secret_scan": op2_secret_scan,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_files": op7_token_files,
