@@ -26,10 +26,9 @@ _MASK = (1 << 64) - 1
 @cache
 def char_classes() -> np.ndarray:
     """Class of each code point, by the Unicode categories that the patterns use."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
-    every = "".join(map(chr, points))
+    at = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+    every = at.tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
-    at = np.asarray(points, np.int32)
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, every):
             out[at[m.start() : m.end()]] = kind

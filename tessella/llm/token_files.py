@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters
 from .common import key_ranges, materialize, range_bucket, shared_dir, shuffle_width, text_blocks
 from .pretoken import code_points, distinct, span_hashes, token_spans
 
@@ -104,8 +105,8 @@ class CachedTokenizer:
     """The tokenizers library behind a bounded cache of distinct pre-tokens.
 
     The vocabulary's pre-tokeniser cuts a text before merging, so a text's ids
-    are those of its pre-tokens in order.  Texts with special strings go to the
-    library whole.
+    are those of its pre-tokens in order, each by the library's model.  Texts
+    with special strings go to the library whole.
     """
 
     def __init__(self, path: str, max_words: int = 600_000):
@@ -116,6 +117,8 @@ class CachedTokenizer:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.max_words = max_words
         self._clear()
 
@@ -127,7 +130,8 @@ class CachedTokenizer:
         self.sizes = np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[str], hashes: list[int]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
+        got = [[t.id for t in self.tokenize(w)] for w in spelled]
         sizes = np.asarray([len(g) for g in got], np.int64)
         flat = np.fromiter((t for g in got for t in g), np.uint32, int(sizes.sum()))
         n, k = self.used, len(self.known)
