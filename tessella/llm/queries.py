@@ -52,6 +52,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cap_filters import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -60,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_token_files": op7_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_cap_filters": op10_cap_filters,
 }
 ORACLES: dict[str, str] = {}
