@@ -52,6 +52,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cap_filters import near_vectors
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_token_files": op7_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_main_text": op9_main_text,
     "op10_cap_filters": op10_cap_filters,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,33 @@
+"""Truncated suffix arrays with numpy, by prefix doubling."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def prefix_ranks(values: np.ndarray, depth: int) -> np.ndarray:
+    """Dense rank of every suffix by its first ``depth`` values (fewer at the end sort first).
+
+    Doubling: ranks by 2k values come from pairs of ranks by k values; a depth
+    that is no power of two overlaps two ranks of the power below it.
+    """
+    n = len(values)
+    _, rank = np.unique(values, return_inverse=True)
+    rank = rank.astype(np.int64) + 1
+    have = 1
+    while have < depth:
+        step = min(have, depth - have)
+        later = np.zeros(n, np.int64)
+        later[: max(n - step, 0)] = rank[step:]
+        _, rank = np.unique(rank * (n + 2) + later, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        have += step
+    return rank
+
+
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Mask of the places that lie in a window of ``length`` from one of ``starts``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + length, n), -1)
+    return np.cumsum(edge[:n]) > 0
