@@ -34,6 +34,12 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_order_minhash": op3_order_minhash,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_repeat_removal": op5_repeat_removal,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_files": op7_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
