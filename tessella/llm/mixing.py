@@ -99,3 +99,33 @@ def mix(
         F.col("doc_id"), size, source_size.cast("long").alias("source_size"), F.col("target"),
         (epochs * size + cut).cast("long").alias("taken"), epochs.alias("whole_epochs"),
     )
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The first ``words`` words of the text, joined by one blank."""
+    return F.call_function("substring_index", F.ltrim(F.regexp_replace(text, F.lit(r"[\x20\x09-\x0D]+"), F.lit(" "))), F.lit(" "), words.cast("int"))
+
+
+def materialize_mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+) -> DataFrame:
+    """The mixed corpus itself: rows of ``docs``, a row an epoch, cut texts with ``n_chars`` counted anew.
+
+    Documents that the mix takes nothing of give no row.  Rows of one id share
+    what the mix takes of them in the order of their sizes.
+    """
+    plan = mix(docs, weights=weights, max_epochs=max_epochs).select("doc_id", "size", "taken")
+    same = Window.partitionBy("doc_id", "size").orderBy("taken")
+    plan = plan.withColumn("nth", F.row_number().over(same)).where("taken > 0")
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source", "text")))
+    rows = rows.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.size = p.size AND d.nth = p.nth"))
+    rows = rows.select("d.*", "p.taken")
+    rows = rows.withColumn("words", F.explode(F.expr("transform(sequence(0, cast(ceil(taken / size) as int) - 1), k -> least(size, taken - k * size))")))
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.drop("size", "nth", "taken", "words")

@@ -457,7 +457,7 @@ def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
 
 def redact(docs: DataFrame, model: FieldModel) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all columns and rows stay, null stays null."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,6 +470,6 @@ def redact(docs: DataFrame, model: FieldModel) -> DataFrame:
             new = [None if old is None else t for old, t in zip(texts, new, strict=True)]
             cols = list(batch.columns)
             cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, docs.schema)
