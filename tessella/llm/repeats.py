@@ -15,7 +15,7 @@ anchors at equal places, and windows with one anchor are neighbours that share
 one context of at most ``2 * LENGTH - GRAM`` bytes.
 
 1. Documents are packed into compressed chunks and written once.
-2. Each chunk sends the hashes of its anchors (six bytes each, every one once) to
+2. Each chunk sends the hashes of its anchors (four bytes each, every one once) to
    hash buckets, which answer with a bit each: whether another chunk has it.
 3. Chunks settle repeats inside themselves and send the contexts of shared
    anchors, every distinct one once with its least id, to the buckets.  There
@@ -40,15 +40,19 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, stored
 from .near_dedup import byte_blocks
-from .pretoken import mixed, powers, span_hashes
+from .pretoken import distinct, mixed, powers, span_hashes
 
 LENGTH = 50
 GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
 CHUNK_BYTES = 3_000_000
-SLICE_WINDOWS = 400_000
+SEGMENT_BYTES = 400_000
+SLICE_WINDOWS = 200_000
 LAST = 2**63 - 1
+#: Bits of an anchor's hash that are sent to ask whether others have it; a false yes costs traffic only.
+ANCHOR_BITS = 44
 _LOW = np.uint64((1 << 24) - 1)
+_ODD = np.uint64(0x94D049BB133111EB)
 
 
 @cache
@@ -60,48 +64,64 @@ def _zip(*arrays: np.ndarray) -> bytes:
     return _packer()[0].compress(b"".join(a.tobytes() for a in arrays))
 
 
+def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: first window, windows, document, anchor's place, hashes of anchor and context."""
+    n = len(raw)
+    sizes = np.diff(offsets)
+    per_doc = np.maximum(sizes - LENGTH + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), per_doc)
+    if not len(doc):
+        none = np.empty(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    windows = np.arange(len(doc)) + np.repeat(offsets[:-1] - (np.cumsum(per_doc) - per_doc), per_doc)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    grams = (total[GRAM:] - total[: n + 1 - GRAM]) * down[: n + 1 - GRAM]
+    best = (grams ^ (grams >> np.uint64(32))) * _ODD
+    low = _LOW if n <= 1 << 24 else np.uint64((1 << (n - 1).bit_length()) - 1)
+    best &= ~low
+    best |= np.arange(len(grams), dtype=np.uint64)
+    reach = 1
+    while reach < WINDOWS:  # least of ever longer runs of grams
+        step = min(reach, WINDOWS - reach)
+        best = np.minimum(best[: len(best) - step], best[step:])
+        reach += step
+    place = (best[windows] & low).astype(np.int64)
+    new = np.ones(len(windows), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    first = windows[head]
+    count = np.diff(np.append(head, len(windows)))
+    ends = first + count + LENGTH - 1
+    content = mixed((total[ends] - total[first]) * down[first] + (ends - first).astype(np.uint64))
+    return first, count, doc[head], place[head], mixed(grams[place[head]]), content
+
+
 class Chunk:
     """Some documents: bytes, offsets, ids; with their anchors and contexts worked out."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         self.raw, self.offsets, self.ids = raw, offsets, ids
-        n = len(raw)
-        sizes = np.diff(offsets)
-        last = np.repeat(offsets[1:], sizes) - LENGTH if n else np.empty(0, np.int64)
-        windows = np.flatnonzero(np.arange(n) <= last)
-        if len(windows):
-            up, down = powers(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-            grams = mixed((total[GRAM:] - total[: n + 1 - GRAM]) * down[: n + 1 - GRAM])
-            low = _LOW if n <= 1 << 24 else np.uint64((1 << (n - 1).bit_length()) - 1)
-            best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-            reach = 1
-            while reach < WINDOWS:  # least of ever longer runs of grams
-                step = min(reach, WINDOWS - reach)
-                best = np.minimum(best[: len(best) - step], best[step:])
-                reach += step
-            place = (best[windows] & low).astype(np.int64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)[windows]
-            new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-            head = np.flatnonzero(new)
-            self.first = windows[head]
-            self.count = np.diff(np.append(head, len(windows)))
-            self.doc = doc[head]
-            self.anchor = grams[place[head]]
-            content = span_hashes(raw, self.first, self.first + self.count + LENGTH - 1)
-        else:
-            self.first = self.count = self.doc = np.empty(0, np.int64)
-            self.anchor = content = np.empty(0, np.uint64)
-        # distinct contexts in order of anchor, then content; each with its least id
-        order = np.lexsort((self.ids[self.doc], content, self.anchor))
-        a, c = self.anchor[order], content[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        self.context = np.empty(len(order), np.int64)
-        self.context[order] = np.cumsum(fresh) - 1
-        self.example = order[fresh]
-        self.least = self.ids[self.doc[self.example]]
+        parts = []
+        for a, b in _cuts(np.diff(offsets), SEGMENT_BYTES):
+            at = offsets[a]
+            first, count, doc, place, anchor, content = _runs(raw[at : offsets[b]], offsets[a : b + 1] - at)
+            parts.append((first + at, count, doc + a, place + at, anchor, content))
+        parts = parts or [_runs(raw[:0], offsets[:1])]
+        self.first, self.count, self.doc, self.place, self.anchor, self._content = (np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def contexts(self) -> Chunk:
+        """Distinct contexts in order of anchor, then content; each with its least id."""
+        codes, found, where = distinct(self._content)
+        least = np.full(len(found), LAST, np.int64)
+        np.minimum.at(least, codes, self.ids[self.doc])
+        order = np.lexsort((found, self.anchor[where]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.context = rank[codes]
+        self.example = where[order]
+        self.least = least[order]
         self.name = self.anchor[self.example]
         # distinct anchors, ascending; several contexts of one anchor have to meet in any case
         start = np.ones(len(self.name), bool)
@@ -109,10 +129,12 @@ class Chunk:
         self.anchor_of = np.cumsum(start) - 1
         self.anchors = self.name[start]
         self.several = np.bincount(self.anchor_of, minlength=len(self.anchors)) > 1 if len(start) else np.empty(0, bool)
+        return self
 
-    def bucket_edges(self, buckets: int) -> np.ndarray:
-        """Places in ``anchors`` where each bucket begins: buckets are ranges of the hash."""
-        return np.searchsorted((self.anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    @staticmethod
+    def bucket_edges(anchors: np.ndarray, buckets: int) -> np.ndarray:
+        """Places in sorted ``anchors`` where each bucket begins: buckets are ranges of the hash."""
+        return np.searchsorted((anchors >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
 
     def cut(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """(bytes, bytes removed, spans removed, digest of the rest) of each document.
@@ -183,16 +205,30 @@ def _unpack(row_ids: bytes, row_sizes: bytes, row_raw: bytes) -> Chunk:
     return Chunk(np.frombuffer(unzip(row_raw), np.uint8), offsets, np.frombuffer(unzip(row_ids), np.int64))
 
 
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers by their steps: four bytes each where they fit, else eight."""
+    steps = np.diff(values, prepend=values[:1])
+    if not len(values) or steps.max() >> np.uint64(32):
+        return b"\x08" + values.tobytes()
+    return b"\x04" + values[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, np.uint64, offset=1)
+    first = np.frombuffer(raw, np.uint64, 1, 1)
+    return np.cumsum(np.concatenate([first, np.frombuffer(raw, np.uint32, offset=9).astype(np.uint64)]), dtype=np.uint64)
+
+
 def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 chunk = _unpack(*(batch.column(c)[k].as_py() for c in ("ids", "sizes", "raw")))
-                edges = chunk.bucket_edges(buckets)
-                short = chunk.anchors >> np.uint64(16)
-                high, low = (short >> np.uint64(16)).astype(np.uint32), (short & np.uint64(0xFFFF)).astype(np.uint16)
+                anchors = np.unique(chunk.anchor)
+                edges = chunk.bucket_edges(anchors, buckets)
                 full = np.flatnonzero(np.diff(edges)).tolist()
-                data = [high[edges[i] : edges[i + 1]].tobytes() + low[edges[i] : edges[i + 1]].tobytes() for i in full]
+                data = [_pack_sorted(anchors[edges[i] : edges[i + 1]] >> np.uint64(64 - ANCHOR_BITS)) for i in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([batch.column("chunk")[k].as_py()] * len(full), pa.int64()), pa.array(data, pa.binary())],
                     ["bucket", "chunk", "data"],
@@ -222,10 +258,7 @@ def _by_bucket(settle):
 
 def _shared_anchors(bucket: int, chunks: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Which anchors of each chunk another chunk has too, a bit each."""
-    parts = []
-    for raw in data:
-        n = len(raw) // 6
-        parts.append((np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, 4 * n))
+    parts = [_unpack_sorted(raw) for raw in data]
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
@@ -260,27 +293,29 @@ def _by_chunk(work):
 
 def _send_contexts(buckets: int):
     def work(name: int, answers: dict[int, bytes], chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        edges = chunk.bucket_edges(buckets)
+        chunk.contexts()
+        edges = chunk.bucket_edges(chunk.anchors, buckets)
         asked = chunk.several.copy()
         for bucket, raw in answers.items():
             a, b = edges[bucket], edges[bucket + 1]
             asked[a:b] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
         context = np.flatnonzero(asked[chunk.anchor_of])
         place = np.searchsorted(chunk.anchor_of[context], edges)
-        ex = chunk.example[context]
-        first, size = chunk.first[ex], (chunk.count[ex] + LENGTH - 1)
-        sum_ = np.cumsum(size)
-        at = np.repeat(first - (sum_ - size), size) + np.arange(int(sum_[-1]) if len(sum_) else 0)
-        raw = chunk.raw[at]
-        byte_edges = np.concatenate([[0], sum_])[place]
         rows, data = [], []
         for i in np.flatnonzero(np.diff(place)).tolist():
-            a, b = place[i], place[i + 1]
+            own = context[place[i] : place[i + 1]]
+            ex = chunk.example[own]
+            first, size = chunk.first[ex], chunk.count[ex] + LENGTH - 1
+            ends = np.cumsum(size)
+            at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))
             rows.append(i)
             data.append(
-                np.int64(b - a).tobytes()
-                + _zip(context[a:b].astype(np.int32), chunk.least[context[a:b]], chunk.name[context[a:b]], chunk.count[ex[a:b]].astype(np.int8), raw[byte_edges[i] : byte_edges[i + 1]])
-            )
+                np.int64(len(own)).tobytes()
+                + _zip(
+                    np.diff(own, prepend=0).astype(np.int32), chunk.least[own], (chunk.place[ex] - first).astype(np.int8),
+                    chunk.count[ex].astype(np.int8), chunk.raw[at],
+                )
+            )
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["bucket", "chunk", "data"])
 
     return _by_chunk(work)
@@ -318,21 +353,26 @@ def _settle_contexts(bucket: int, chunks: list[int], data: list[bytes]) -> Itera
         n = int(np.frombuffer(blob, np.int64, 1)[0])
         raw = unzip(blob[8:])
         at = 0
-        for col, kind in zip(cols, (np.int32, np.int64, np.uint64, np.int8), strict=False):
+        for col, kind in zip(cols, (np.int32, np.int64, np.int8, np.int8), strict=False):
             col.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
+        cols[0][-1] = np.cumsum(cols[0][-1])
         cols[4].append(np.frombuffer(raw, np.uint8, offset=at))
         cols[5].append(np.full(n, who, np.int32))
-    context, ids, name, count, raw, who = (np.concatenate(c) for c in cols)
+    context, ids, inside, count, raw, who = (np.concatenate(c) for c in cols)
     count = count.astype(np.int64)
     size = count + LENGTH - 1
     ends = np.cumsum(size)
-    content = np.concatenate(
-        [
-            span_hashes(raw[lo:hi], ends[a:b] - size[a:b] - lo, ends[a:b] - lo)
-            for a, b in _cuts(size, 1_000_000)
-            for lo, hi in [(int(ends[a] - size[a]), int(ends[b - 1]))]
-        ]
+    anchor_at = ends - size + inside
+    content, name = (
+        np.concatenate(
+            [
+                span_hashes(raw[lo:hi], x[a:b] - lo, y[a:b] - lo)
+                for a, b in _cuts(size, 1_000_000)
+                for lo, hi in [(int(ends[a] - size[a]), int(ends[b - 1]))]
+            ]
+        )
+        for x, y in ((ends - size, ends), (anchor_at, anchor_at + GRAM))
     )
     order = np.lexsort((ids, content, name))
     fresh = np.ones(len(order), bool)
@@ -365,7 +405,10 @@ def _settle_contexts(bucket: int, chunks: list[int], data: list[bytes]) -> Itera
         else:
             part = raw[lo:hi]
         own = ids[h][owner]
-        earlier = longest_previous(part, begin, own) < own
+        # a window whose hash no other has is nobody's repeat and needs no place in the order
+        codes, found, _ = distinct(span_hashes(part, begin, begin + LENGTH))
+        twice = np.flatnonzero((np.bincount(codes, minlength=len(found)) > 1)[codes])
+        earlier = twice[longest_previous(part, begin[twice], own[twice]) < own[twice]] if len(twice) else twice
         np.add.at(bits, ctx[owner[earlier]], np.int64(1) << offset[earlier])
     least = ids[head][group]
     answer = np.where(ids > least, (np.int64(1) << count) - 1, bits[group])
@@ -375,7 +418,7 @@ def _settle_contexts(bucket: int, chunks: list[int], data: list[bytes]) -> Itera
     for k in np.flatnonzero(np.diff(edges)).tolist():
         pick = told[edges[k] : edges[k + 1]]
         rows.append(chunks[k])
-        out.append(_zip(context[pick], answer[pick].astype(np.int32)))
+        out.append(_zip(context[pick].astype(np.int32), answer[pick].astype(np.int32)))
     yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.int64()), pa.array(out, pa.binary())], ["bucket", "chunk", "data"])
 
 
@@ -396,6 +439,7 @@ def _cuts(sizes: np.ndarray, limit: int, keep: np.ndarray | None = None) -> Iter
 
 
 def _cut_texts(name: int, answers: dict[int, bytes], chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    chunk.contexts()
     bits = np.zeros(len(chunk.example), np.int64)
     for blob in answers.values():
         raw = _packer()[1].decompress(blob)
@@ -417,7 +461,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as greater than all others.
     """
     width = shuffle_width(docs.sparkSession)
-    buckets = 4 * width
+    buckets = 2 * width
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = stored(rows.mapInArrow(_pack, "chunk long, ids binary, sizes binary, raw binary"), "repeats")
     message = "bucket int, chunk long, data binary"
