@@ -11,9 +11,12 @@
   the member whose own lists are longest; candidates with enough matches are
   confirmed on full sets and joined into components.  Lists that then still hold
   several components are merged in blocks, skipping pairs already connected and
-  pairs whose first shared coordinate is another list's (skip merging); again
-  candidates are confirmed on full sets.  So no link between components is lost,
-  and copies of one text never meet each other.
+  pairs whose first shared coordinate is another list's (skip merging): first
+  every member with its ``NEAREST`` likeliest partners of a block, then, where
+  components are left, with all.  Candidates also need a likeness of their
+  ``BINS``-bin sketches within ``SIGMAS`` standard deviations, and are confirmed
+  on full sets.  So no link between components is lost, and copies of one text
+  never meet each other.
 
 At a similarity of 0.85 a pair misses the threshold with probability 2e-5.
 """
@@ -37,6 +40,9 @@ COORDS = 32
 MATCHES = 12
 PREFIX = COORDS - MATCHES + 1
 BLOCK = 512
+NEAREST = 3
+BINS = 512
+SIGMAS = 5.0
 #: Largest number of ids that goes out by broadcast (16 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -120,15 +126,27 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return coords, names
 
 
+def sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, BINS) bytes: of the hashes that fall in a bin the least, in 1 to 255; 0 for an empty bin."""
+    docs = len(offsets) - 1
+    h = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
+    at = np.repeat(np.arange(docs), np.diff(offsets)) * BINS + (h >> np.uint64(55)).astype(np.int64)
+    least = np.full(docs * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(least, at, ((h >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    value = (mixed(least.astype(np.uint64)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return np.where(least == 0xFFFFFFFF, np.uint8(0), value).reshape(docs, BINS)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in byte_blocks(batch.column("text")):
             sets, edges = shingle_sets(raw, offsets)
             coords, names = signatures(sets, edges)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(coords.view(np.int32).ravel()), COORDS).cast(pa.list_(pa.int32()))
+            bins = pa.array([r.tobytes() for r in sketches(sets, edges)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(edges)), *(pa.array(np.ascontiguousarray(names[:, k]).view(np.int64)) for k in (0, 1)), lists],
-                ["doc_id", "n_shingles", "s1", "s2", "sig"],
+                [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(edges)), *(pa.array(np.ascontiguousarray(names[:, k]).view(np.int64)) for k in (0, 1)), lists, bins],
+                ["doc_id", "n_shingles", "s1", "s2", "sig", "bins"],
             )
 
 
@@ -158,7 +176,8 @@ def _confirmer(percent: int):
 
 def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    ids = materialize(ids.distinct())
     small = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("doc_id", "text")
     sets = wanted.mapInArrow(_sets, "id long, members binary")
@@ -167,15 +186,21 @@ def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(rows.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long").distinct())
 
 
-def _match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each block pair of a posting list: rows come sorted by (key, i, j)."""
-    held: list[pa.RecordBatch] = []
+def _match_blocks(percent: int, nearest: int | None):
+    """Candidates of each block pair of a posting list: rows come sorted by (key, i, j).
+
+    ``nearest``: only so many partners of a row, by likeness of the sketches.
+    """
+    goal = percent / 100
+    slack = SIGMAS * np.sqrt(goal * (1 - goal))
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rep = table["rep"].to_numpy()
         comp, coord, block = table["comp"].to_numpy(), table["coord"].to_numpy(), table["block"].to_numpy()
         group = [table[c].to_numpy() for c in ("key", "i", "j")]
         sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        size = table["n_shingles"].to_numpy()
+        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
         new = np.concatenate([[True], np.any([g[1:] != g[:-1] for g in group], axis=0), [True]])
         cuts = np.flatnonzero(new)
         out_a, out_b = [], []
@@ -185,20 +210,54 @@ def _match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             right = left if i == j else np.arange(lo, hi)[block[lo:hi] == j]
             for p in range(0, len(left), 64):
                 rows = left[p : p + 64]
-                same = sig[rows][:, None, :] == sig[right][None, :, :]
-                good = same.sum(2) >= MATCHES
-                good &= comp[rows][:, None] != comp[right][None, :]
-                if i == j:
+                good = comp[rows][:, None] != comp[right][None, :]
+                least, most = np.minimum(size[rows][:, None], size[right]), np.maximum(size[rows][:, None], size[right])
+                good &= 100 * least >= percent * most
+                if i == j and nearest is None:
                     good &= rep[rows][:, None] < rep[right][None, :]
+                if not good.any():
+                    continue
+                same = sig[rows][:, None, :] == sig[right][None, :, :]
+                good &= same.sum(2) >= MATCHES
                 if c:
                     good &= ~same[:, :, :c].any(2)
                 x, y = np.nonzero(good)
-                out_a.append(rep[rows][x])
-                out_b.append(rep[right][y])
+                if not len(x):
+                    continue
+                # pairs of bins: in use by one text at least, and equal
+                likely = np.empty(len(x))
+                enough = np.empty(len(x), bool)
+                for q in range(0, len(x), 8192):
+                    u, v = bins[rows[x[q : q + 8192]]], bins[right[y[q : q + 8192]]]
+                    used = ((u > 0) | (v > 0)).sum(1)
+                    likely[q : q + 8192] = share = ((u == v) & (u > 0)).sum(1) / used
+                    # the bins are a sample without replacement of the union
+                    union = (size[rows[x[q : q + 8192]]] + size[right[y[q : q + 8192]]]) / (1 + goal)
+                    left_out = np.clip(1 - used / union, 0.02, 1)
+                    enough[q : q + 8192] = share >= goal - slack * np.sqrt(left_out / used) - 2 / used
+                x, y, likely = x[enough], y[enough], likely[enough]
+                if nearest is not None and len(x):
+                    order = np.lexsort((rep[right[y]], -likely, x))
+                    x, y = x[order], y[order]
+                    first = np.searchsorted(x, x)
+                    few = np.arange(len(x)) - first < nearest
+                    x, y = x[few], y[few]
+                out_a.append(rep[rows[x]])
+                out_b.append(rep[right[y]])
         a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
         b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _whole_groups(batches, found)
+
+    return run
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """Pass rows on in tables that cut no (key, i, j) group."""
+    held: list[pa.RecordBatch] = []
+
     def group_at(batch: pa.RecordBatch, k: int) -> tuple:
         return tuple(batch.column(c)[k].as_py() for c in ("key", "i", "j"))
 
@@ -236,9 +295,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     width = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"), "minhash")
+    described = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>, bins binary"), "minhash")
     linkable = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes)
     posted = classes.select("rep", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value"))
     posted = posted.select("rep", "coord", F.expr("shiftleft(cast(coord as long), 32) | (value & 4294967295L)").alias("key"))
@@ -250,27 +309,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = posted.join(shared, "rep")
     lead = ranked.groupBy("key").agg(F.min(F.struct(-F.col("shares"), F.col("rep")))["rep"].alias("lead"))
     stars = posted.select("key", "rep").join(lead, "key").where("rep <> lead").select("rep", "lead").distinct()
-    sigs = classes.select("rep", "sig")
-    stars = stars.join(sigs.withColumnRenamed("sig", "p"), "rep")
+    sigs = classes.select("rep", "sig", "bins", "n_shingles")
+    stars = stars.join(sigs.select("rep", F.col("sig").alias("p")), "rep")
     stars = stars.join(sigs.select(F.col("rep").alias("lead"), F.col("sig").alias("q")), "lead")
     stars = materialize(stars.where(_matches("p", "q") >= MATCHES).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = confirm(texts, stars, percent)
     known = materialize(components(links))
 
-    # lists that still hold several components
-    member = posted.join(known, posted.rep == known.id, "left").select("key", "coord", "rep", F.coalesce("component", "rep").alias("comp"))
-    several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    several = several.where("lo <> hi").select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    member = member.join(several, "key").withColumn("block", F.expr("cast(pmod(xxhash64(rep, key), blocks) as int)"))
-    member = member.join(sigs, "rep")
-    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
-    member = member.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "coord", "rep", "comp", "block", "sig")
-    member = member.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = member.mapInArrow(_match_blocks, "a long, b long").distinct()
-    more = materialize(more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(confirm(texts, more, percent))
-        known = materialize(components(links))
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for nearest in (NEAREST, None):
+        # lists that still hold several components
+        member = posted.join(known, posted.rep == known.id, "left").select("key", "coord", "rep", F.coalesce("component", "rep").alias("comp"))
+        several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        several = several.where("lo <> hi").select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+        member = member.join(several, "key").withColumn("block", F.expr("cast(pmod(xxhash64(rep, key), blocks) as int)"))
+        member = member.join(sigs, "rep")
+        cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
+        member = member.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "coord", "rep", "comp", "block", "sig", "bins", "n_shingles")
+        member = member.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = member.mapInArrow(_match_blocks(percent, nearest), "a long, b long").distinct()
+        more = materialize(more.join(done, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            done = done.unionByName(more)
+            links = links.unionByName(confirm(texts, more, percent))
+            known = materialize(components(links))
 
     of_class = classes.select("s1", "s2", "rep").join(known, classes.rep == known.id, "left")
     of_class = of_class.select("s1", "s2", F.coalesce("component", "rep").alias("found"))
