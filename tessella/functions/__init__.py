@@ -1 +1 @@
-
+"""Functions for kernels."""

@@ -1 +1 @@
-
+"""Grids, maps, runs and reductions."""

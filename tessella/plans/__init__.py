@@ -1 +1 @@
-
+"""Expressions, tracing and the choice of strategy."""

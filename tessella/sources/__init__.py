@@ -1 +1 @@
-
+"""Grids from tables."""

@@ -1 +1 @@
-
+"""Grids are finite and dense: the model has no streams, and this package is empty on purpose."""
