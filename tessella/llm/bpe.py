@@ -205,7 +205,7 @@ class TextEncoder:
     holds ``max_words``, so memory is bounded.
     """
 
-    def __init__(self, bpe: WordBpe, max_words: int = 600_000):
+    def __init__(self, bpe: WordBpe, max_words: int = 200_000):
         self.bpe, self.max_words = bpe, max_words
         self.known: dict[int, int] = {}
         self._clear()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import TextEncoder, WordBpe
-from .common import text_blocks
+from .common import small_batches, text_blocks
 
 
 def default_vocabulary() -> str:
@@ -29,8 +29,7 @@ def encoder(path: str) -> TextEncoder:
 
 def _rows(batch: pa.RecordBatch, path: str, texts_out: bool) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
-    texts = batch.column("text").to_pylist()
-    for start, stop, block in text_blocks(texts):
+    for start, stop, block in text_blocks(batch.column("text")):
         coded = coder.encode(block)
         cols = [batch.column(0).slice(start, stop - start), pa.array([c[0] for c in coded], pa.int64())]
         names = ["doc_id", "n_tokens"]
@@ -54,6 +53,7 @@ def encode(
     repeated rows stay; other columns are ignored.  Special strings in a text
     get their ids, as in the library.  One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")

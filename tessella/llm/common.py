@@ -6,18 +6,29 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessella"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of at most ``BATCH_BYTES``, so that memory is bounded whatever the rows hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; set only where the session has none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,17 +58,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_blocks(texts: list[str | None], limit: int = 1_500_000) -> Iterator[tuple[int, int, list[str]]]:
-    """Cut a batch into runs of about ``limit`` characters: (start, stop, texts, null as empty)."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > start and held + size > limit:
-            yield start, i, [t or "" for t in texts[start:i]]
-            start, held = i, 0
-        held += size
-    if start < len(texts):
-        yield start, len(texts), [t or "" for t in texts[start:]]
+def text_blocks(texts: pa.Array | list[str | None], limit: int = 500_000) -> Iterator[tuple[int, int, list[str]]]:
+    """Cut a column into runs of about ``limit`` bytes: (start, stop, texts, null as empty).
+
+    Only one run at a time becomes Python strings.
+    """
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def key_ranges(df: DataFrame, key: str, buckets: int) -> list[int]:

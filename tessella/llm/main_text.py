@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_ranges, range_bucket, shuffle_width
+from .common import key_ranges, range_bucket, shuffle_width, small_batches
 from .suffixes import covered, prefix_ranks
 
 RUN = 8
@@ -220,6 +220,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Null html is empty; pages with a null url are a host of their own; repeated
     rows count as distinct pages and all stay.  Pages are shuffled once.
     """
+    small_batches(pages.sparkSession)
     width = shuffle_width(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, stored
+from .common import materialize, shuffle_width, small_batches, stored
 from .components import components
 from .pretoken import mixed, span_hashes
 
@@ -57,7 +57,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def byte_blocks(column: pa.Array, limit: int = 1_500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_blocks(column: pa.Array, limit: int = 600_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a text column: (start, stop, bytes, offsets); null as empty."""
     if not len(column):
         return
@@ -293,6 +293,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the document's own.  Null texts are empty; a null id links with nothing
     and is kept.  Rows of one id count as one document for linking and all stay.
     """
+    small_batches(docs.sparkSession)
     width = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>, bins binary"), "minhash")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_index, key_ranges, range_bucket, shuffle_width
+from .common import bucket_index, key_ranges, range_bucket, shuffle_width, small_batches
 from .pretoken import code_points, mixed, powers
 
 K = 8
@@ -150,6 +150,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     meets.  Only one id a range comes to the driver.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("place"),

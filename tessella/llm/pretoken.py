@@ -91,16 +91,18 @@ def token_spans(points: np.ndarray, offsets: np.ndarray, blanks: bool) -> tuple[
     return starts, ends
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least ``size`` of them."""
-    return _powers(1 << max(16, (size - 1).bit_length()))
+    """Powers of the hash base and of its inverse, at least ``size`` of them; the longest made are kept."""
+    if len(_held[0]) < size:
+        length = 1 << max(16, (size - 1).bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(length, base, np.uint64)
+            out[0] = 1
+            _held[k] = np.multiply.accumulate(out)
+    return _held[0], _held[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

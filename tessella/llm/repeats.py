@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import shuffle_width, small_batches, stored
 from .near_dedup import byte_blocks
 from .pretoken import distinct, mixed, powers, span_hashes
 
@@ -460,6 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal id don't remove from each other.  A null text is empty; a null id
     counts as greater than all others.
     """
+    small_batches(docs.sparkSession)
     width = shuffle_width(docs.sparkSession)
     buckets = 2 * width
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks
+from .common import small_batches, text_blocks
 from .pretoken import LETTER, NUMBER, SPACE, char_classes, code_points, distinct, span_hashes
 
 #: The base patterns, in the order of their kinds, and least lengths.
@@ -371,12 +372,13 @@ def training_windows(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarra
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> FieldModel:
     """Fit the field on at most ``max_train`` documents, the first by a hash of the id."""
+    small_batches(docs.sparkSession)
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, block in text_blocks(batch.column("text").to_pylist()):
+            for a, b, block in text_blocks(batch.column("text")):
                 keys = batch.column("doc_id").slice(a, b - a)
                 seed = int(hashlib.sha256(str(keys.to_pylist()).encode()).hexdigest()[:8], 16)
                 x, y, ok = training_windows(block, seed)
@@ -435,6 +437,7 @@ def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
     fixed pattern's are left out, as that one stays.  Null and empty texts have
     none.  Rows are independent: repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     counts = ("n_assign", "n_access", "n_hex")
     schema = T.StructType(
@@ -445,7 +448,7 @@ def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            for a, b, block in text_blocks(batch.column("text").to_pylist()):
+            for a, b, block in text_blocks(batch.column("text")):
                 found = find(block, field)
                 cols = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:3]]
                 cols.append(pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string()))
@@ -457,19 +460,19 @@ def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
 
 def redact(docs: DataFrame, model: FieldModel) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all columns and rows stay, null stays null."""
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            new: list[str | None] = []
-            for _, _, block in text_blocks(texts):
-                new += [redacted(t, spans) if spans else t for t, (_, spans) in zip(block, find(block, field), strict=True)]
-            new = [None if old is None else t for old, t in zip(texts, new, strict=True)]
+            new: list[pa.Array] = []
+            for _, _, block in text_blocks(batch.column(at)):
+                new.append(pa.array([redacted(t, spans) if spans else t for t, (_, spans) in zip(block, find(block, field), strict=True)], pa.string()))
             cols = list(batch.columns)
-            cols[at] = pa.array(new, pa.string())
+            texts = pa.concat_arrays(new) if new else cols[at]
+            cols[at] = pc.if_else(pc.is_null(cols[at]), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, docs.schema)

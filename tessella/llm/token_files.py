@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import key_ranges, materialize, range_bucket, shared_dir, shuffle_width, text_blocks
+from .common import key_ranges, materialize, range_bucket, shared_dir, shuffle_width, small_batches, text_blocks
 from .pretoken import code_points, distinct, span_hashes, token_spans
 
 MAGIC = b"FIXBITS1"
@@ -109,7 +109,7 @@ class CachedTokenizer:
     with special strings go to the library whole.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -184,7 +184,13 @@ def default_vocabulary() -> str:
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """File system and path of a folder URI as Spark writes them."""
+    scheme, _, path = uri.partition(":")
+    if scheme == "s3a":
+        uri = f"s3:{path}"
+    elif not path or scheme == "file":
+        uri = f"file:///{(path or uri).lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_files(
@@ -200,6 +206,7 @@ def write_files(
     """
     path = vocabulary or default_vocabulary()
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     width = shuffle_width(spark)
     cuts = key_ranges(rows, "doc_id", shards or 4 * width)
@@ -223,8 +230,8 @@ def write_files(
         end = np.asarray([end_id], np.uint32)
         shard, doc_ids, ids, done = None, [], [], []
         for batch in batches:
-            shards_, keys, texts = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))
-            for start, stop, block in text_blocks(texts):
+            shards_, keys = (batch.column(c).to_pylist() for c in ("shard", "doc_id"))
+            for start, _, block in text_blocks(batch.column("text")):
                 for k, got in enumerate(coder.encode(block), start):
                     if shards_[k] != shard:
                         if doc_ids:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_blocks
+from .common import small_batches, stored, text_blocks
 from .pretoken import LETTER, char_classes, code_points, distinct, span_hashes
 
 HASH_BITS = 20
@@ -55,7 +55,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first[offsets] = True
     first[n] = False
     first[:n] &= letter[1:-1]
-    first[1:n] &= letter[1 : n] if n else first[1:n]  # a word that would run across two texts
+    first[1:n] &= letter[1:n]  # a word that would run across two texts
     starts = np.flatnonzero((edge & letter[1:]) | first)
     ends = np.flatnonzero((edge & letter[:-1]) | (first & letter[:-1]))
     docs = np.searchsorted(offsets, starts, side="right") - 1
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train:
     Rows with a null label, id or text class are left out; without labelled rows
     of both classes the model scores every text alike.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_col())
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train:
         for batch in batches:
             labels_ = np.asarray(batch.column("label").to_pylist(), np.int64)
             rows, rows_pos = rows + len(labels_), rows_pos + int(labels_.sum())
-            for a, b, block in text_blocks(batch.column("text").to_pylist()):
+            for a, b, block in text_blocks(batch.column("text")):
                 d, s, _ = _pairs(block, every)
                 total += np.bincount(s, minlength=1 << HASH_BITS).astype(np.int32)
                 pos += np.bincount(s[labels_[a:b][d] > 0], minlength=1 << HASH_BITS).astype(np.int32)
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, block in text_blocks(batch.column("text").to_pylist()):
+            for a, b, block in text_blocks(batch.column("text")):
                 d, s, c = _pairs(block, slot)
                 edges = np.searchsorted(d, np.arange(b - a + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v.astype(np.int32))) for v in (s, c)]
@@ -217,6 +218,7 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
 
     Null and empty texts score what the bias says.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_toxic", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -224,7 +226,7 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            got = [fitted.score(block) for _, _, block in text_blocks(batch.column(at).to_pylist())]
+            got = [fitted.score(block) for _, _, block in text_blocks(batch.column(at))]
             scores = np.concatenate(got) if got else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold)], schema.names)
 
