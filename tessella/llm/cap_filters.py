@@ -9,9 +9,13 @@ one label and are compared by cosine in double precision.
 
 Filters are planned from the number of vectors: a filter holds about ``HOLDS``
 random vectors and a vector lies in about ``FILTERS`` filters and in ``LEAST`` at
-least; two vectors of cosine 0.98 share about three quarters of theirs.  Large filters are cut in blocks of ``BLOCK`` vectors and block
-pairs are dealt to tasks.  Tasks return link counts, each pair counted in its
-first common filter only, and a spanning forest of what they saw: never pairs.
+least; two vectors of cosine 0.98 share about three quarters of theirs.  Filters
+first hold sketches only, the signs of ``SIGNS`` random projections; two vectors of
+the threshold's angle differ in more than ``likely_signs`` of them with probability
+1e-9.  Vectors with a likely partner in a filter are then fetched and compared.
+Large filters are cut in blocks of ``BLOCK`` vectors and block pairs are dealt to
+tasks.  Tasks return link counts, each pair counted in its first common filter
+only, and a spanning forest of what they saw: never pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width
+from .common import materialize, shuffle_width, small_batches
 from .components import components
 
 FILTERS = 32
 LEAST = 16
 HOLDS = 64
 BLOCK = 256
+SIGNS = 256
+KEYS = ("group", "owner", "i", "j")
 
 
 @dataclass
@@ -120,33 +126,99 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _poster(vectors: int):
-    plans: dict[int, CapFilters] = {}
+def likely_signs(threshold: float) -> int:
+    """Most signs in which a pair at the threshold differs, six standard deviations up."""
+    share = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return int(np.ceil(SIGNS * share + 6 * np.sqrt(SIGNS * share * (1 - share))))
+
+
+def _decoder(vectors: int):
+    plans: dict[int, tuple[CapFilters, np.ndarray]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column("vector")]
             for dim in sorted({len(v) for v in raw}):
-                plan = plans.setdefault(dim, CapFilters.plan(dim, vectors))
+                if dim not in plans:
+                    plans[dim] = CapFilters.plan(dim, vectors), np.random.default_rng(dim).normal(size=(dim, SIGNS))
+                plan, planes = plans[dim]
                 own = np.asarray([i for i, v in enumerate(raw) if len(v) == dim])
                 for start in range(0, len(own), 256):
                     rows = own[start : start + 256]
-                    row, code = plan.decode(_unit(np.stack([raw[i] for i in rows])))
-                    counts = np.bincount(row, minlength=len(rows))
-                    edges = np.concatenate([[0], np.cumsum(counts)])
-                    lists = [code[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                    take = pa.array(rows[row])
+                    unit = _unit(np.stack([raw[i] for i in rows]))
+                    row, code = plan.decode(unit)
+                    edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+                    signs = np.packbits(unit @ planes > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *(batch.column(c).take(take) for c in ("label", "rep", "copies", "vector")), pa.array(np.full(len(row), dim, np.int32)),
-                            pa.array(code), pa.array([lists[r] for r in row.tolist()], pa.binary()),
+                            *(batch.column(c).take(pa.array(rows)) for c in ("label", "cid", "rep", "copies", "vector")), pa.array(np.full(len(rows), dim, np.int32)),
+                            pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(code)), pa.array([r.tobytes() for r in signs], pa.binary()),
                         ],
-                        ["label", "rep", "copies", "vector", "dim", "filter", "filters"],
+                        ["label", "cid", "rep", "copies", "vector", "dim", "filters", "signs"],
                     )
 
     return run
 
 
+def _likely(bound: int):
+    """Members of each group that have a partner of near signs."""
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {c: table[c].to_numpy() for c in (*KEYS, "cid", "block", "filter")}
+        signs = np.frombuffer(b"".join(table["signs"].to_pylist()), np.uint64).reshape(-1, SIGNS // 64)
+        has = np.zeros(len(table), bool)
+        for lo, hi in _groups(cols):
+            i, j, block = cols["i"][lo], cols["j"][lo], cols["block"][lo:hi]
+            left = lo + np.flatnonzero(block == i)
+            right = left if i == j else lo + np.flatnonzero(block == j)
+            for p in range(0, len(left), 64):
+                rows = left[p : p + 64]
+                apart = np.bitwise_count(signs[rows][:, None] ^ signs[right][None]).sum(2, dtype=np.int32)
+                near = (apart <= bound) & (rows[:, None] != right[None])
+                has[rows] |= near.any(1)
+                has[right] |= near.any(0)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[c][has]) for c in ("group", "owner", "filter", "cid")], ["group", "owner", "filter", "cid"])
+
+    return lambda batches: _whole_groups(batches, found)
+
+
+def _groups(cols: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """Row ranges of equal keys."""
+    new = np.any([cols[c][1:] != cols[c][:-1] for c in KEYS], axis=0)
+    cuts = np.flatnonzero(np.concatenate([[True], new, [True]])).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """Pass sorted rows on in tables that cut no group."""
+    held: list[pa.RecordBatch] = []
+    key_at = lambda batch, k: tuple(batch.column(c)[k].as_py() for c in KEYS)
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = key_at(batch, len(batch) - 1)
+        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(KEYS, last, strict=True)], axis=0)
+        tail = int(np.argmax(same))
+        if held and (tail or key_at(held[-1], 0) != last):
+            yield from found(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+            held = []
+        elif tail:
+            yield from found(pa.Table.from_batches([batch.slice(0, tail)]))
+        held.append(batch.slice(tail))
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
+def _dealt(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of groups of two or more, dealt as block pairs (i, j) of at most two blocks each."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = sizes.select("group", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
+    out = rows.join(sizes, "group").withColumn("block", F.expr("cast(pmod(xxhash64(cid, group), blocks) as int)"))
+    out = out.withColumn("cell", F.explode(cells)).select("*", "cell.i", "cell.j").drop("cell", "blocks")
+    return out.repartition(width, *KEYS).sortWithinPartitions(*KEYS)
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links seen, each tree as a star on its least vertex."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -165,13 +237,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def _comparer(threshold: float):
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = {c: table[c].to_numpy() for c in ("group", "i", "j", "rep", "copies", "block", "filter")}
+        cols = {c: table[c].to_numpy() for c in (*KEYS, "cid", "rep", "copies", "block", "filter")}
         vectors, filters = table["vector"].combine_chunks(), table["filters"].combine_chunks()
-        new = np.any([cols[c][1:] != cols[c][:-1] for c in ("group", "i", "j")], axis=0)
-        cuts = np.flatnonzero(np.concatenate([[True], new, [True]])).tolist()
+        edge, flat = filters.offsets.to_numpy(), filters.values.to_numpy()
         counts: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for lo, hi in _groups(cols):
             i, j, f = cols["i"][lo], cols["j"][lo], int(cols["filter"][lo])
             unit = _unit(np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in vectors[lo:hi]]))
             block = cols["block"][lo:hi]
@@ -185,53 +256,30 @@ def _comparer(threshold: float):
             x, y = np.nonzero(near)
             if not len(x):
                 continue
-            x, y = left[x], right[y]
-            earlier = [np.frombuffer(v.as_buffer(), np.int64) for v in filters[lo:hi]]
+            # pairs with an earlier common filter are counted there
+            earlier = [flat[edge[r] : edge[r + 1]] for r in range(lo, hi)]
             earlier = [v[v < f] for v in earlier]
-            every = np.unique(np.concatenate(earlier)) if earlier else np.empty(0, np.int64)
+            every = np.unique(np.concatenate(earlier))
+            fresh = np.ones(len(x), bool)
             if len(every):
-                # pairs with an earlier common filter are counted there
                 has = np.zeros((hi - lo, len(every)), np.float32)
                 for r, v in enumerate(earlier):
                     has[r, np.searchsorted(every, v)] = 1
-                common = has[left] @ has[right].T
-                place = np.full(hi - lo, -1)
-                place[left] = np.arange(len(left))
-                other = np.full(hi - lo, -1)
-                other[right] = np.arange(len(right))
-                fresh = common[place[x], other[y]] == 0
-                x, y = x[fresh], y[fresh]
-                if not len(x):
-                    continue
-            rep, copies = cols["rep"][lo:hi], cols["copies"][lo:hi]
+                fresh = (has[left] @ has[right].T)[x, y] == 0
+            x, y = left[x[fresh]], right[y[fresh]]
+            if not len(x):
+                continue
+            cid, rep, copies = cols["cid"][lo:hi], cols["rep"][lo:hi], cols["copies"][lo:hi]
             gain = np.bincount(x, copies[y], hi - lo) + np.bincount(y, copies[x], hi - lo)
             for r in np.flatnonzero(gain).tolist():
-                counts[int(rep[r])] = counts.get(int(rep[r]), 0) + int(gain[r])
+                counts[int(cid[r])] = counts.get(int(cid[r]), 0) + int(gain[r])
             edges += _forest(rep[x], rep[y])
         a = [*counts, *(e[0] for e in edges)]
         b = [*([None] * len(counts)), *(e[1] for e in edges)]
         n = [*counts.values(), *([0] * len(edges))]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = tuple(batch.column(c)[len(batch) - 1].as_py() for c in ("group", "i", "j"))
-            same = np.all([batch.column(c).to_numpy() == v for c, v in zip(("group", "i", "j"), last, strict=True)], axis=0)
-            tail = int(np.argmax(same))
-            before = held and tuple(held[-1].column(c)[0].as_py() for c in ("group", "i", "j"))
-            if held and (tail or before != last):
-                yield from found(pa.Table.from_batches([*held, batch.slice(0, tail)]))
-                held = []
-            elif tail:
-                yield from found(pa.Table.from_batches([batch.slice(0, tail)]))
-            held.append(batch.slice(tail))
-        if held:
-            yield from found(pa.Table.from_batches(held))
-
-    return run
+    return lambda batches: _whole_groups(batches, found)
 
 
 def near_vectors(
@@ -246,6 +294,7 @@ def near_vectors(
     a null id.  Rows of one id count as separate vectors in ``n_links``.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding")
     )
@@ -254,24 +303,21 @@ def near_vectors(
     described = materialize(described)
     usable = described.where("name IS NOT NULL AND vec_id IS NOT NULL")
     classes = usable.groupBy("label", "name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes)
-    posted = classes.select("label", "rep", "copies", "vector").mapInArrow(
-        _poster(classes.count()), f"label {label_type}, rep long, copies long, vector binary, dim int, filter long, filters binary"
-    )
-    posted = posted.withColumn("group", F.xxhash64("label", "dim", "filter"))
-    posted = materialize(posted.drop("label", "dim"))
-    sizes = posted.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = sizes.select("group", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
-    dealt = posted.join(sizes, "group").withColumn("block", F.expr("cast(pmod(xxhash64(rep, group), blocks) as int)"))
-    dealt = dealt.withColumn("cell", F.explode(cells)).select(
-        "group", "cell.i", "cell.j", "rep", "copies", "block", "filter", "vector", "filters"
+    classes = materialize(classes.withColumn("cid", F.xxhash64("label", "name")))
+    width = shuffle_width(spark)
+    decoded = classes.select("label", "cid", "rep", "copies", "vector").mapInArrow(
+        _decoder(classes.count()), f"label {label_type}, cid long, rep long, copies long, vector binary, dim int, filters array<long>, signs binary"
     )
-    dealt = dealt.repartition(shuffle_width(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
-    seen = materialize(dealt.mapInArrow(_comparer(threshold), "a long, b long, n long"))
+    decoded = materialize(decoded)
+    posted = decoded.select("label", "dim", "cid", "signs", F.explode("filters").alias("filter"))
+    group, owner = F.xxhash64("label", "dim", "filter").alias("group"), F.xxhash64(F.lit("owner"), "dim", "label").alias("owner")
+    posted = posted.select(group, owner, "filter", "cid", "signs")
+    likely = _dealt(posted, width).mapInArrow(_likely(likely_signs(threshold)), "group long, owner long, filter long, cid long").distinct()
+    likely = materialize(likely).join(decoded.select("cid", "rep", "copies", "vector", "filters"), "cid")
+    seen = materialize(_dealt(likely, width).mapInArrow(_comparer(threshold), "a long, b long, n long"))
     counts = seen.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     known = components(seen.where("b IS NOT NULL"))
-    of_class = classes.select("label", "name", "rep", "copies").join(counts, classes.rep == counts.a, "left").drop("a")
+    of_class = classes.select("label", "name", "cid", "rep", "copies").join(counts, classes.cid == counts.a, "left").drop("a")
     of_class = of_class.join(known, of_class.rep == known.id, "left")
     of_class = of_class.select(
         "label", "name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("found")
