@@ -1,35 +1,41 @@
-"""Main text of web pages: page structure, and a suffix array of each host.
+"""Main text of web pages: page structure, and the repeats of each host.
 
 A page becomes a row of blocks, each with a place: inside the article, inside a
 part that is never article text (menus, headers, footers, adverts, forms ...),
-or undecided.  Pages of one host are laid end to end as token streams, and a
-suffix array over them finds runs of ``RUN`` tokens or more that stand on two
-distinct pages.  Tokens of undecided blocks that such runs cover are removed and
-their unique runs stay.  Text that the page itself marks as its article is never
-removed, as articles do quote each other.
-
-Hosts are laid out along a key of host hash and page hash, cut where the rows
-are, so a host of a third of all pages spans many buckets; within one, streams
-are at most ``PAGES`` pages long.  A repeat is seen within a stream; what a host
-puts on all its pages is in every stream.
+or undecided.  Runs of ``RUN`` tokens or more that stand on two distinct pages of
+a host go from undecided blocks, and their unique runs stay.  Text that the page
+itself marks as its article is never removed, as articles do quote each other.
+Only the first ``RUN`` tokens of a suffix matter, so a host's suffix array is
+partitioned by their hash.
+
+Pages are parsed once and packed in chunks.  Each chunk sends its distinct hashes
+(with the host's mixed in), and the ones that are repeats come back to it, so
+neither chunks nor partitions bear on the result and no host is ever gathered.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_ranges, range_bucket, shuffle_width, small_batches
-from .suffixes import covered, prefix_ranks
+from .common import small_batches, stored
+from .pretoken import mixed
+from .suffixes import covered
 
 RUN = 8
-PAGES = 400
+#: A chunk ends at so many pages or characters of text.
+PAGES = 2000
+CHUNK = 2_000_000
+#: Most hosts whose hashes go to every task (8 bytes each); beyond it the pages of all hosts send their windows.
+OPEN_HOSTS = 500_000
 ARTICLE, BOILER, OPEN = 0, 1, 2
 
 _TAG = re.compile(
@@ -168,94 +174,175 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """Main texts of a stream of one host's pages, from their blocks.
+Page = tuple[int, list[tuple[int, str]]]  # hash of the host, blocks
 
-    The suffix array covers the whole stream; a separator of its own ends each
-    page, so no run spans two pages.
-    """
-    undecided = any(place == OPEN for blocks_ in pages for place, _ in blocks_)
-    if not undecided or len(pages) < 2:
-        return [" ".join(t for place, t in page if place != BOILER) for page in pages]
-    names: dict[str, int] = {}
-    values, page_of, spans = [], [], []
-    for p, page in enumerate(pages):
-        for k, (place, t) in enumerate(page):
-            words = t.split()
-            spans.append((p, k, len(values), len(values) + len(words)))
-            values += [names.setdefault(w, len(names)) for w in words]
-            page_of += [p] * len(words)
-        values.append(-1 - p)
-        page_of.append(p)
-    v, owner = np.asarray(values, np.int64), np.asarray(page_of, np.int64)
-    rank = prefix_ranks(v, RUN)
-    order = np.argsort(rank, kind="stable")
-    first = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    edges = np.flatnonzero(first)
-    group = np.cumsum(first) - 1
-    low, high = np.minimum.reduceat(owner[order], edges), np.maximum.reduceat(owner[order], edges)
-    shared = np.zeros(len(v), bool)
-    shared[order] = (low < high)[group]
-    whole = np.zeros(len(v), bool)  # a window that holds a separator is on one page only
-    ends = np.flatnonzero(v < 0)
-    whole[: max(len(v) - RUN + 1, 0)] = True
-    gap = ends[np.searchsorted(ends, np.arange(len(v)))] - np.arange(len(v))
-    whole &= gap >= RUN
-    repeated = covered(np.flatnonzero(shared & whole), RUN, len(v))
-    out: list[list[str]] = [[] for _ in pages]
-    for p, k, a, b in spans:
-        place, t = pages[p][k]
-        if place == ARTICLE:
-            out[p].append(t)
-        elif place == OPEN:
-            kept = [w for w, gone in zip(t.split(), repeated[a:b].tolist(), strict=True) if not gone]
-            if kept:
-                out[p].append(" ".join(kept))
-    return [" ".join(t) for t in out]
+_PLACE = np.random.default_rng(20240909).integers(0, 1 << 63, RUN, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text (empty if none), n_chars (code points).
+def _hash(text: str) -> int:
+    """64 bits, signed."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    Null html is empty; pages with a null url are a host of their own; repeated
-    rows count as distinct pages and all stay.  Pages are shuffled once.
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = value = _hash(word)
+        return value
+
+
+def _windows(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(hash, is whole, page) of the window at each token of the pages laid end to end, and the first token of each block.
+
+    A window is whole if it ends on its page.
     """
-    small_batches(pages.sparkSession)
-    width = shuffle_width(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    key = F.expr("shiftleft(cast(hash(host) as long), 20) + pmod(xxhash64(page_id, url), 1048576L)")
-    rows = rows.withColumn("host", host).withColumn("place", key)
-    cuts, snapped = key_ranges(rows.drop("html"), "place", 4 * width), []
-    for k, cut in enumerate(cuts):
-        split = k > 0 and cuts[k - 1] >> 20 == cut >> 20
-        snapped.append(cut if split else (cut >> 20) << 20)
-    rows = rows.withColumn("bucket", range_bucket("place", sorted(set(snapped))))
-    rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket", "host", "place", "page_id")
+    names, values, spans, sizes = _Words(), [], [0], []
+    for _, page in pages:
+        before = len(values)
+        for _, t in page:
+            values += [names[w] for w in t.split()]
+            spans.append(len(values))
+        sizes.append(len(values) - before)
+    n = len(values)
+    owner = np.repeat(np.arange(len(pages)), sizes)
+    stop = np.cumsum(np.asarray(sizes, np.int64))[owner] if n else np.empty(0, np.int64)
+    v = np.concatenate([np.asarray(values, np.int64).view(np.uint64), np.zeros(RUN, np.uint64)])
+    sums = mixed(np.asarray([h for h, _ in pages], np.int64).view(np.uint64))[owner]
+    for k in range(RUN):
+        sums += v[k : k + n] * _PLACE[k]
+    return mixed(sums).view(np.int64), stop - np.arange(n) >= RUN, owner, spans
+
+
+def is_open(page: Page) -> bool:
+    return any(place == OPEN for place, _ in page[1])
+
+
+def distinct_windows(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct window hashes of some pages; whether each stands on two of them, and on one with undecided blocks."""
+    key, whole, owner, _ = _windows(pages)
+    key, owner = key[whole], owner[whole]
+    if not len(key):
+        return key, np.zeros(0, bool), np.zeros(0, bool)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    undecided = np.asarray([is_open(p) for p in pages])[owner]
+    several = np.minimum.reduceat(owner, edges) < np.maximum.reduceat(owner, edges)
+    return key[edges], several, np.logical_or.reduceat(undecided, edges)
+
+
+def main_text_of(pages: list[Page], repeats: np.ndarray) -> list[str]:
+    """Main texts of pages, given the hashes of their repeated windows."""
+    undecided = [p for p in pages if len(repeats) and is_open(p)]
+    gone, spans = np.zeros(0, bool), [0]
+    if undecided:
+        key, whole, _, spans = _windows(undecided)
+        gone = covered(np.flatnonzero(whole & np.isin(key, repeats)), RUN, len(key))
+    out, at = [], 0
+    for page in pages:
+        kept: list[str] = []
+        if len(repeats) and is_open(page):
+            for place, t in page[1]:
+                if place == OPEN:
+                    left = [w for w, g in zip(t.split(), gone[spans[at] : spans[at + 1]].tolist(), strict=True) if not g]
+                    kept += [" ".join(left)] if left else []
+                elif place == ARTICLE:
+                    kept.append(t)
+                at += 1
+        else:
+            kept = [t for place, t in page[1] if place != BOILER]
+        out.append(" ".join(kept))
+    return out
+
+
+def extract(pages: list[list[tuple[int, str]]]) -> list[str]:
+    """Main texts of all pages of one host, from their blocks."""
+    held = [(0, page) for page in pages]
+    key, several, _ = distinct_windows(held)
+    return main_text_of(held, key[several])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of parsed pages: part, the hosts of pages with undecided blocks, pages as a compressed Arrow stream."""
+    part = TaskContext.get().partitionId() << 32
+    held: list[tuple] = []
+    size = 0
+
+    def finish() -> pa.RecordBatch:
+        nonlocal part, size
+        hosts = {p[2] for p in held if is_open((0, p[3]))}
+        names = ("page_id", "url", "host", "places", "texts")
+        types = (kind, pa.string(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.large_string()))
+        cells = zip(*((i, u, h, [p for p, _ in b], [t for _, t in b]) for i, u, h, b in held), strict=True)
+        rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], list(names))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        out = [pa.array([part]), pa.array([sorted(hosts)], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        part, size = part + 1, 0
+        held.clear()
+        return pa.RecordBatch.from_arrays(out, ["part", "open_hosts", "pages"])
+
+    for batch in batches:
+        kind = batch.column("page_id").type
+        for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            found = blocks(html or "")
+            held.append((page, url, _hash(host_of(url)), found))
+            size += sum(len(t) for _, t in found)
+            if len(held) >= PAGES or size >= CHUNK:
+                yield finish()
+    if held:
+        yield finish()
+
+
+def _unpack(cell: pa.Scalar) -> tuple[pa.RecordBatch, list[Page]]:
+    rows = pa.ipc.open_stream(cell.as_buffer()).read_next_batch()
+    cols = (rows.column(c).to_pylist() for c in ("host", "places", "texts"))
+    return rows, [(h, list(zip(p, t, strict=True))) for h, p, t in zip(*cols, strict=True)]
+
+
+def _window_rows(hosts: np.ndarray | None):
+    """(part, key, several, undecided) of the distinct windows of a chunk; of these hosts only, if given."""
+    wanted = None if hosts is None else set(hosts.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        kind = pa.string()
+        for batch in batches:
+            for part, cell in zip(batch.column("part").to_pylist(), batch.column("pages"), strict=True):
+                key, several, undecided = distinct_windows([p for p in _unpack(cell)[1] if wanted is None or p[0] in wanted])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part, np.int64)), *map(pa.array, (key, several, undecided))], ["part", "key", "several", "undecided"])
 
-        def finish() -> pa.RecordBatch:
-            texts = extract([r[2] for r in held])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in held], kind), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+    return run
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cell, keys in zip(batch.column("pages"), batch.column("keys"), strict=True):
+            rows, pages = _unpack(cell)
+            repeats = keys.values.to_numpy() if keys.is_valid else np.empty(0, np.int64)
+            texts = main_text_of(pages, repeats)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-        now = None
-        for batch in batches:
-            kind = batch.column("page_id").type
-            cols = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "bucket", "host"))
-            for page, url, html, bucket, name in zip(*cols, strict=True):
-                if held and (now != (bucket, name) or len(held) >= PAGES):
-                    yield finish()
-                    held = []
-                now = (bucket, name)
-                held.append((page, url, blocks(html or "")))
-        if held:
-            yield finish()
 
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per page: page_id, url, text (empty if none), n_chars (code points).
+
+    Null html is empty; pages with a null url are a host of their own; repeated
+    rows count as distinct pages and all stay.
+    """
+    small_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    packed = stored(rows.mapInArrow(_pack, "part long, open_hosts array<long>, pages binary"), "pages")
+    hosts = [r[0] for r in packed.select(F.explode("open_hosts").alias("host")).distinct().limit(OPEN_HOSTS + 1).collect()]
+    if hosts:
+        wanted = np.asarray(hosts, np.int64) if len(hosts) <= OPEN_HOSTS else None
+        found = packed.select("part", "pages").mapInArrow(_window_rows(wanted), "part long, key long, several boolean, undecided boolean")
+        same = Window.partitionBy("key")
+        found = found.withColumn("repeated", (F.count("*").over(same) > 1) | F.max("several").over(same))
+        keys = found.where("repeated AND undecided").groupBy("part").agg(F.collect_list("key").alias("keys"))
+        packed = packed.select("part", "pages").join(keys, "part", "left")
+    else:
+        packed = packed.withColumn("keys", F.lit(None).cast("array<long>"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return packed.select("pages", "keys").mapInArrow(_finish, f"page_id {kind}, url string, text string, n_chars long")

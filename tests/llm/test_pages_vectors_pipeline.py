@@ -61,6 +61,20 @@ def test_main_texts_frame(spark, monkeypatch):
     assert main_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_host_repeats_need_no_common_stream(spark, monkeypatch):
+    run = " ".join(f"rare{k}" for k in range(9))
+    notice = "this site is made with care by a small team of people"
+    rows = [(i, "http://one.org/p", f"<div>{notice}</div><p>{' '.join(f'own{i}x{k}' for k in range(12))}</p>" + (f"<p>{run}</p>" if i in (3, 398) else "")) for i in range(401)]
+    rows += [(900, "http://other.org/", f"<p>{notice} {run}</p>")]
+    texts = [main_text.blocks(h) for _, _, h in rows[:401]]
+    want = dict(enumerate(" ".join(f"own{i}x{k}" for k in range(12)) for i in range(401))) | {900: f"{notice} {run}"}
+    assert dict(enumerate(main_text.extract(texts))) == {i: t for i, t in want.items() if i < 900}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for pages, parts in ((400, 1), (7, 5)):
+        monkeypatch.setattr(main_text, "PAGES", pages)
+        assert {r.page_id: r.text for r in main_text.main_texts(df.repartition(parts)).collect()} == want
+
+
 def test_prefix_ranks():
     v = np.random.default_rng(0).integers(0, 3, 200)
     for depth in (1, 3, 8, 13):
