@@ -2,11 +2,15 @@
 
 A page becomes a row of blocks, each with a place: inside the article, inside a
 part that is never article text (menus, headers, footers, adverts, forms ...),
-or undecided.  Runs of ``RUN`` tokens or more that stand on two distinct pages of
-a host go from undecided blocks, and their unique runs stay.  Text that the page
-itself marks as its article is never removed, as articles do quote each other.
-Only the first ``RUN`` tokens of a suffix matter, so a host's suffix array is
-partitioned by their hash.
+or undecided.  Two kinds of repeats over all pages of a host go:
+
+* Runs of ``RUN`` tokens or more that stand on two distinct pages go from
+  undecided blocks, and their unique runs stay.  Only the first ``RUN`` tokens of
+  a suffix matter, so a host's suffix array is partitioned by their hash.
+* A whole block of ``RUN`` tokens or more goes from text that pages mark as their
+  article if it stands in ``MANY`` distinct articles of the host and in half of
+  all.  Articles do quote and copy each other: an article that such blocks make
+  up for more than half keeps them.
 
 Pages are parsed once and packed in chunks.  Each chunk sends its distinct hashes
 (with the host's mixed in), and the ones that are repeats come back to it, so
@@ -26,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import materialize, small_batches, stored
 from .pretoken import mixed
 from .suffixes import covered
 
 RUN = 8
+MANY = 10
 #: A chunk ends at so many pages or characters of text.
 PAGES = 2000
 CHUNK = 2_000_000
@@ -179,9 +184,9 @@ Page = tuple[int, list[tuple[int, str]]]  # hash of the host, blocks
 _PLACE = np.random.default_rng(20240909).integers(0, 1 << 63, RUN, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def _hash(text: str) -> int:
+def _hash(text: str, seed: int = 0) -> int:
     """64 bits, signed."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8, salt=seed.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
 class _Words(dict):
@@ -230,9 +235,22 @@ def distinct_windows(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return key[edges], several, np.logical_or.reduceat(undecided, edges)
 
 
+def block_key(host: int, text: str) -> int:
+    return _hash(text, host)
+
+
+def article_blocks(page: Page) -> tuple[int, set[int]] | None:
+    """(hash of the article, hashes of its distinct blocks of ``RUN`` tokens or more); None without an article."""
+    texts = [t for place, t in page[1] if place == ARTICLE]
+    if not texts:
+        return None
+    return _hash("\n".join(texts)), {block_key(page[0], t) for t in texts if len(t.split()) >= RUN}
+
+
 def main_text_of(pages: list[Page], repeats: np.ndarray) -> list[str]:
-    """Main texts of pages, given the hashes of their repeated windows."""
-    undecided = [p for p in pages if len(repeats) and is_open(p)]
+    """Main texts of pages, given the hashes of their repeats (windows and article blocks)."""
+    known = set(repeats.tolist())
+    undecided = [p for p in pages if known and is_open(p)]
     gone, spans = np.zeros(0, bool), [0]
     if undecided:
         key, whole, _, spans = _windows(undecided)
@@ -240,7 +258,7 @@ def main_text_of(pages: list[Page], repeats: np.ndarray) -> list[str]:
     out, at = [], 0
     for page in pages:
         kept: list[str] = []
-        if len(repeats) and is_open(page):
+        if known and is_open(page):
             for place, t in page[1]:
                 if place == OPEN:
                     left = [w for w, g in zip(t.split(), gone[spans[at] : spans[at + 1]].tolist(), strict=True) if not g]
@@ -250,6 +268,10 @@ def main_text_of(pages: list[Page], repeats: np.ndarray) -> list[str]:
                 at += 1
         else:
             kept = [t for place, t in page[1] if place != BOILER]
+            if known:
+                unique = [t for t in kept if len(t.split()) < RUN or block_key(page[0], t) not in known]
+                if 2 * sum(map(len, unique)) >= sum(map(len, kept)):
+                    kept = unique
         out.append(" ".join(kept))
     return out
 
@@ -258,7 +280,13 @@ def extract(pages: list[list[tuple[int, str]]]) -> list[str]:
     """Main texts of all pages of one host, from their blocks."""
     held = [(0, page) for page in pages]
     key, several, _ = distinct_windows(held)
-    return main_text_of(held, key[several])
+    articles: dict[int, set[int]] = dict(filter(None, map(article_blocks, held)))
+    counts: dict[int, int] = {}
+    for keys in articles.values():
+        for k in keys:
+            counts[k] = counts.get(k, 0) + 1
+    site = [k for k, c in counts.items() if c >= MANY and 2 * c >= len(articles)]
+    return main_text_of(held, np.concatenate([key[several], np.asarray(site, np.int64)]))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +328,18 @@ def _unpack(cell: pa.Scalar) -> tuple[pa.RecordBatch, list[Page]]:
     return rows, [(h, list(zip(p, t, strict=True))) for h, p, t in zip(*cols, strict=True)]
 
 
+def _article_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, host, article, key) of the blocks of each article; a row without a key for each article."""
+    for batch in batches:
+        for part, cell in zip(batch.column("part").to_pylist(), batch.column("pages"), strict=True):
+            out = set()
+            for page in _unpack(cell)[1]:
+                if found := article_blocks(page):
+                    out.update((part, page[0], found[0], k) for k in (None, *found[1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["part", "host", "article", "key"])
+
+
 def _window_rows(hosts: np.ndarray | None):
     """(part, key, several, undecided) of the distinct windows of a chunk; of these hosts only, if given."""
     wanted = None if hosts is None else set(hosts.tolist())
@@ -329,18 +369,34 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Per page: page_id, url, text (empty if none), n_chars (code points).
 
     Null html is empty; pages with a null url are a host of their own; repeated
-    rows count as distinct pages and all stay.
+    rows count as distinct pages (of one article) and all stay.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     packed = stored(rows.mapInArrow(_pack, "part long, open_hosts array<long>, pages binary"), "pages")
+    backs = []
+
+    # whole blocks that half of a host's articles share
+    of_articles = stored(packed.select("part", "pages").mapInArrow(_article_rows, "part long, host long, article long, key long"), "articles")
+    blocks_ = of_articles.where("key IS NOT NULL").select("host", "key", "article").distinct()
+    blocks_ = blocks_.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+    totals = of_articles.where("key IS NULL").select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    site = materialize(blocks_.join(totals, "host").where("2 * n >= articles").select("key").distinct())
+    if not site.isEmpty():
+        backs.append(of_articles.select("part", "key").distinct().join(site, "key").select("part", "key"))
+
+    # windows on two pages of a host with undecided blocks
     hosts = [r[0] for r in packed.select(F.explode("open_hosts").alias("host")).distinct().limit(OPEN_HOSTS + 1).collect()]
     if hosts:
         wanted = np.asarray(hosts, np.int64) if len(hosts) <= OPEN_HOSTS else None
         found = packed.select("part", "pages").mapInArrow(_window_rows(wanted), "part long, key long, several boolean, undecided boolean")
         same = Window.partitionBy("key")
         found = found.withColumn("repeated", (F.count("*").over(same) > 1) | F.max("several").over(same))
-        keys = found.where("repeated AND undecided").groupBy("part").agg(F.collect_list("key").alias("keys"))
+        backs.append(found.where("repeated AND undecided").select("part", "key"))
+
+    if backs:
+        keys = backs[0].unionByName(backs[1]) if len(backs) > 1 else backs[0]
+        keys = keys.groupBy("part").agg(F.collect_list("key").alias("keys"))
         packed = packed.select("part", "pages").join(keys, "part", "left")
     else:
         packed = packed.withColumn("keys", F.lit(None).cast("array<long>"))

@@ -75,6 +75,20 @@ def test_host_repeats_need_no_common_stream(spark, monkeypatch):
         assert {r.page_id: r.text for r in main_text.main_texts(df.repartition(parts)).collect()} == want
 
 
+def test_site_blocks_go_from_articles_too(spark):
+    notice = "sign up for the weekly letter of this site and miss nothing"
+    quote = "a sentence that three of the articles quote from one another word by word"
+    own = {i: " ".join(f"own{i}x{k}" for k in range(20)) for i in range(24)}
+    rows = [(i, "http://one.org/", f"<article><p>{own[i]}</p><div class='letterbox'>{notice}</div>{f'<p>{quote}</p>' if i < 3 else ''}</article>") for i in range(24)]
+    copies = [(100 + i, "http://copies.org/", f"<article><p>{quote} {notice}</p><p>{own[0]}</p><p>copy {i}</p></article>") for i in range(24)]
+    lines = [(200 + i, "http://few.org/", f"<article><p>{own[i]}</p><p>{notice}</p></article>") for i in range(4)]
+    df = spark.createDataFrame(rows + copies + lines, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text.main_texts(df.repartition(5)).collect()}
+    assert all(got[i] == (f"{own[i]} {quote}" if i < 3 else own[i]) for i in range(24))
+    assert all(got[100 + i] == f"{quote} {notice} {own[0]} copy {i}" for i in range(24))
+    assert all(got[200 + i] == f"{own[i]} {notice}" for i in range(4))
+
+
 def test_prefix_ranks():
     v = np.random.default_rng(0).integers(0, 3, 200)
     for depth in (1, 3, 8, 13):
