@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``.
 
 1. toxicity: documents that the fitted factorization machine rejects go.
-2. MinHash near-dedup: one document of each group of near copies stays.
+2. MinHash near-dedup: one document of each group of near copies (a Jaccard
+   similarity of five-word shingles of 0.80 or more) stays.
 3. secret scans: every span found is replaced in the text.
 4. mixing: each source is taken to its target; a document taken n times whole
    becomes n rows, and the one at a source's cut gives its first words.
@@ -22,6 +23,7 @@ from tessella.llm import bpe_codec, mixing, near_dedup, secrets, toxicity
 from tessella.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every group of near copies; rows of a null id stay."""
-    found = near_dedup.near_components(docs).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    found = near_dedup.near_components(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct()
     rows = docs.select(*COLUMNS)
     kept = rows.join(found, "doc_id", "left_semi").select(*COLUMNS)
     return kept.unionByName(rows.where("doc_id IS NULL"))

@@ -5,8 +5,8 @@
 * A signature has ``COORDS`` coordinates; a coordinate is a pair of minima, so
   two sets of similarity s agree in it with probability s * s.
 * Classes are posted under each coordinate-value pair of the prefix.  A pair that
-  agrees in ``MATCHES`` coordinates shares one of any ``PREFIX = COORDS -
-  MATCHES + 1``, so the other coordinates need no postings (prefix merging).
+  agrees in m coordinates shares one of any ``COORDS - m + 1``, so the other
+  coordinates need no postings (prefix merging).  m falls with the threshold.
 * Posting lists are not expanded into pairs.  Each list first meets its leader,
   the member whose own lists are longest; candidates with enough matches are
   confirmed on full sets and joined into components.  Lists that then still hold
@@ -18,12 +18,14 @@
   on full sets.  So no link between components is lost, and copies of one text
   never meet each other.
 
-At a similarity of 0.85 a pair misses the threshold with probability 2e-5.
+At the threshold the signatures miss a pair with probability ``MISS`` at most (m is 12
+at 0.85 and 9 at 0.80).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,7 @@ from .pretoken import mixed, span_hashes
 
 WORDS = 5
 COORDS = 32
-MATCHES = 12
-PREFIX = COORDS - MATCHES + 1
+MISS = 1e-5
 BLOCK = 512
 NEAREST = 3
 BINS = 512
@@ -57,6 +58,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def matches_at(percent: int) -> int:
+    """Most coordinates that all but ``MISS`` of the pairs at the threshold agree in."""
+    same, missed, m = (percent / 100) ** 2, 0.0, 0
+    while m < COORDS:
+        missed += comb(COORDS, m) * same**m * (1 - same) ** (COORDS - m)
+        if missed > MISS:
+            break
+        m += 1
+    return max(m, 1)
+
+
 def byte_blocks(column: pa.Array, limit: int = 600_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a text column: (start, stop, bytes, offsets); null as empty."""
     if not len(column):
@@ -191,7 +203,7 @@ def _match_blocks(percent: int, nearest: int | None):
 
     ``nearest``: only so many partners of a row, by likeness of the sketches.
     """
-    goal = percent / 100
+    goal, matches = percent / 100, matches_at(percent)
     slack = SIGMAS * np.sqrt(goal * (1 - goal))
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -218,7 +230,7 @@ def _match_blocks(percent: int, nearest: int | None):
                 if not good.any():
                     continue
                 same = sig[rows][:, None, :] == sig[right][None, :, :]
-                good &= same.sum(2) >= MATCHES
+                good &= same.sum(2) >= matches
                 if c:
                     good &= ~same[:, :, :c].any(2)
                 x, y = np.nonzero(good)
@@ -294,13 +306,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and is kept.  Rows of one id count as one document for linking and all stay.
     """
     small_batches(docs.sparkSession)
-    width = shuffle_width(docs.sparkSession)
+    width, matches = shuffle_width(docs.sparkSession), matches_at(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>, bins binary"), "minhash")
     linkable = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes)
-    posted = classes.select("rep", F.posexplode(F.slice("sig", 1, PREFIX)).alias("coord", "value"))
+    posted = classes.select("rep", F.posexplode(F.slice("sig", 1, COORDS - matches + 1)).alias("coord", "value"))
     posted = posted.select("rep", "coord", F.expr("shiftleft(cast(coord as long), 32) | (value & 4294967295L)").alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     posted = materialize(posted.join(sizes, "key"))
@@ -313,7 +325,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = classes.select("rep", "sig", "bins", "n_shingles")
     stars = stars.join(sigs.select("rep", F.col("sig").alias("p")), "rep")
     stars = stars.join(sigs.select(F.col("rep").alias("lead"), F.col("sig").alias("q")), "lead")
-    stars = materialize(stars.where(_matches("p", "q") >= MATCHES).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = materialize(stars.where(_matches("p", "q") >= matches).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = confirm(texts, stars, percent)
     known = materialize(components(links))
 

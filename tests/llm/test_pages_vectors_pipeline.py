@@ -218,3 +218,24 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     assert len(steps["bpe_codec"]) == len(steps["source_mixing"])
     final = collections.Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert final == collections.Counter(map(tuple, steps["bpe_codec"]))
+
+
+def test_pipeline_links_from_080_on(spark):
+    import corpus_pipeline
+
+    docs = []
+    for i in range(80):
+        words = [f"w{i}x{k}" for k in range(60)]
+        docs.append((2 * i, " ".join(words)))
+        words[30] = "new"  # five shingles; and up to three at the end
+        words[60 - i % 4 :] = ["end"] * (i % 4)
+        docs.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs}
+    share = {d: len(sets[d] & sets[d - 1]) / len(sets[d] | sets[d - 1]) for d in sets if d % 2}
+    assert sum(0.80 <= v < 0.85 for v in share.values()) >= 20 and min(share.values()) < 0.80
+    assert got == {d for d in sets if d % 2 == 0 or share[d] < 0.80}
+    from tessella.llm import near_dedup
+
+    assert near_dedup.matches_at(85) == 12 and near_dedup.matches_at(80) == 9
