@@ -393,6 +393,14 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> FieldModel:
     return fit_field(x, y, ok)
 
 
+def _within(a: int, b: int, base: list[Span]) -> bool:
+    """Whether spans of ``base`` cover all of a span."""
+    for _, x, y in sorted(base, key=lambda s: s[1]):
+        if x <= a < y:
+            a = y
+    return a >= b
+
+
 def find(texts: list[str], model: FieldModel) -> list[tuple[list[Span], list[Span]]]:
     """(spans of the fixed patterns, all spans) of each text."""
     t = tokens(texts)
@@ -408,7 +416,7 @@ def find(texts: list[str], model: FieldModel) -> list[tuple[list[Span], list[Spa
     out = []
     for d, text in enumerate(texts):
         base, _ = base_spans(text, t.hexes[d])
-        more = [("field", a, b) for a, b in extra.get(d, ()) if not any(a < y and x < b for _, x, y in base)]
+        more = [("field", a, b) for a, b in extra.get(d, ()) if not _within(a, b, base)]
         spans = sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0])))
         out.append((base, spans))
     return out
@@ -433,9 +441,9 @@ def _joined(spans: list[Span]) -> str:
 def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Offsets are code points, end exclusive.  Spans of the field that overlap a
-    fixed pattern's are left out, as that one stays.  Null and empty texts have
-    none.  Rows are independent: repeated rows stay.
+    Offsets are code points, end exclusive.  Fixed patterns' spans stay;
+    spans of the field that lie within them are left out, and others may overlap
+    them.  Null and empty texts have none.  Rows are independent: repeated rows stay.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")

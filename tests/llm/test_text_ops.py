@@ -226,6 +226,24 @@ def test_field_learns_and_decodes_exactly():
         assert model._viterbi((e[:, 1:] - e[:, :1])[a:b], move) == tags[a:b].tolist()
 
 
+def test_field_spans_that_reach_beyond_a_pattern_stay():
+    text, other = "see password=abcdefgh!Xy12 and on", "see password=abcdefgh and on"
+
+    class Marks:
+        def emissions(self, t):
+            return t
+
+        def decode(self, t, docs):
+            a = t.offsets[t.docs] + 13
+            inside = (t.ends > a) & (t.starts < a + np.where(t.docs == 0, 13, 8))
+            return np.where(inside, np.where(inside & ~np.roll(inside, 1), secrets.B, secrets.I), 0)
+
+    (base, spans), (own, only) = secrets.find([text, other], Marks())
+    assert set(base) < set(spans) and secrets.redacted(text, spans) == "see [secret] and on"
+    assert own == only and secrets.redacted(other, only) == "see [secret] and on"
+    assert not secrets._within(2, 9, [("hex", 2, 5), ("hex", 6, 9)]) and secrets._within(2, 9, [("hex", 4, 9), ("assign", 1, 5)])
+
+
 def test_redaction(docs):
     model = secrets.fit(docs)
     rows = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
