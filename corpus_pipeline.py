@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe_codec, mixing, near_dedup, secrets, toxicity
-from tessella.llm.common import stored, table
+from tessella.llm.common import materialize, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_PERCENT = 80
@@ -33,11 +33,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every group of near copies; rows of a null id stay."""
-    found = near_dedup.near_components(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    """The document of least id of every group of near copies, each of its distinct texts once.
+
+    Rows of a null id count as documents after all others; of repeated rows of an
+    id and text one stays.
+    """
     rows = docs.select(*COLUMNS)
-    kept = rows.join(found, "doc_id", "left_semi").select(*COLUMNS)
-    return kept.unionByName(rows.where("doc_id IS NULL"))
+    known = rows.where("doc_id IS NOT NULL").withColumn("key", F.col("doc_id"))
+    unnamed = rows.where("doc_id IS NULL")
+    if not unnamed.isEmpty():
+        last = known.agg(F.max("doc_id")).first()[0]
+        numbered = unnamed.withColumn("key", F.monotonically_increasing_id() + F.lit((-1 if last is None else last) + 1))
+        known = known.unionByName(stored(numbered, "unnamed"))
+    found = near_dedup.near_components(known, id_col="key", percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("key")).distinct()
+    kept = known.join(found, "key", "left_semi")
+    repeated = materialize(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key", "text"])
+    return kept.join(repeated, "key", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,3 +239,13 @@ def test_pipeline_links_from_080_on(spark):
     from tessella.llm import near_dedup
 
     assert near_dedup.matches_at(85) == 12 and near_dedup.matches_at(80) == 9
+
+
+def test_pipeline_keeps_one_of_repeated_and_unnamed_rows(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{k}" for k in range(30)) for w in "abc")
+    docs = [(1, one), (1, one), (1, two), (None, one), (None, three), (None, three), (None, None), (2, None), (2, None), (3, "x y")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df.repartition(3), "").collect())
+    assert got == collections.Counter([(1, one), (1, two), (None, three), (None, None), (2, None), (3, "x y")])
