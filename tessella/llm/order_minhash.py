@@ -55,8 +55,9 @@ def _rows(h: np.ndarray) -> np.ndarray:
     n = len(h)
     if not n:
         return np.zeros(ROWS, np.uint16)
-    bits = POSITION_BITS if n <= 1 << POSITION_BITS else (n - 1).bit_length()
-    shift, low = np.uint64(bits), np.uint64((1 << bits) - 1)
+    if n > 1 << POSITION_BITS:
+        return _long_rows(h)
+    shift, low = np.uint64(POSITION_BITS), np.uint64((1 << POSITION_BITS) - 1)
     packed = (h & ~low) | np.arange(n, dtype=np.uint64)
     packed.sort()
     name = packed >> shift
@@ -85,6 +86,25 @@ def _rows(h: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
+def _long_rows(h: np.ndarray) -> np.ndarray:
+    """``_rows`` of more k-mers than ``POSITION_BITS`` count: the same names and items, positions beside them."""
+    n, shift = len(h), np.uint64(POSITION_BITS)
+    name = h >> shift
+    place = np.argsort(name, kind="stable")
+    name = name[place]
+    seen = np.arange(n)
+    number = seen - np.maximum.accumulate(np.where(np.concatenate([[True], name[1:] != name[:-1]]), seen, 0))
+    item = mixed(name * _MULT + number.astype(np.uint64)) >> shift
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    took = (np.searchsorted(item, _POINTS >> shift)[:, None] + np.arange(KEEP)) % n
+    took = np.take_along_axis(took, np.argsort(place[took], axis=1, kind="stable"), 1)
+    out = np.zeros(ROWS, np.uint64)
+    for k in range(KEEP):
+        out = mixed(out * _MULT + item[took[:, k]] + np.uint64(k + 1))
+    return (out >> np.uint64(48)).astype(np.uint16)
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """(texts, ROWS) 16-bit fingerprints; equal texts have equal rows, an empty text zeros."""
     out = np.zeros((len(texts), ROWS), np.uint16)

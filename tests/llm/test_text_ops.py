@@ -123,6 +123,14 @@ def test_order_minhash_sees_order_and_edits():
     assert near[0] > 0.85 and near[0] > near[1] > near[2] and near[2] < 0.1
 
 
+def test_order_minhash_has_no_border_in_length():
+    n = 1 << order_minhash.POSITION_BITS
+    h = np.random.default_rng(3).integers(0, 1 << 63, n + 500, dtype=np.uint64) * np.uint64(2)
+    assert order_minhash.likeness(order_minhash._rows(h), order_minhash._rows(h[: n - 500])) > 0.9
+    few = np.repeat(h[:3000], 2)
+    assert (order_minhash._long_rows(few) == order_minhash._rows(few)).all()
+
+
 def test_repeats_against_brute_force(docs, plain, empty, spark):
     rows = docs.unionByName(spark.createDataFrame([(None, PASSAGE, "", "", 1), (2, PASSAGE, "", "", 1), (2, PASSAGE, "", "", 1)], SCHEMA))
     held = [(r.doc_id, (r.text or "").encode()) for r in rows.collect()]
