@@ -177,7 +177,7 @@ def test_reductions_after_runs(gs):
 
 def test_integer_sums_wrap_as_asked(gs):
     n = (16, 16, 16)
-    a, b = gs.iota(n, "int"), gs.zeros(n, "int")
+    a, b = gs.iota(n, "int"), gs.iota(n, "int")
     kernel = summing(cube(3))
     run(smap(kernel, inner(n), a, b))
     assert reduce_grid(b, "sum") == 154463400
