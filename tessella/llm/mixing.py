@@ -2,10 +2,10 @@
 
 Documents get a hash-random key; inside each source they are ordered by that
 key, and a distributed prefix sum of their sizes tells where each source's
-budget ends.  The prefix sum has two levels: the top bits of the key name a
-bucket, sums per (source, bucket) are accumulated per source (``BUCKETS`` rows a
+budget ends.  The prefix sum has two levels: the top digits of the key name a
+bucket, sums per (source, bucket) are accumulated per source (4096 rows a
 source), and the running sum inside a bucket is added to its bucket's base.  So
-a source with a third of all rows is spread over ``BUCKETS`` groups.
+a source with a third of all rows is spread over 4096 groups.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from .common import materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKETS = 1024
+#: Hex digits of the key that name a bucket: 4096 buckets a source.
+BUCKET_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -26,6 +27,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    """MD5, in hex, of a row's source, id and text: its place in the random order, and its name."""
+    source, name, text = F.col(source_col), F.col(id_col).cast("string"), F.col(text_col)
+    parts = [F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), F.md5(source.cast("binary")))), F.coalesce(name, F.lit("-")), F.coalesce(F.md5(text.cast("binary")), F.lit("-"))]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -54,40 +62,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    seed: int = 17,
-) -> DataFrame:
-    """Per document: id, size, source_size, target, taken (words, repeats counted), whole_epochs.
-
-    A source takes whole epochs of all its documents while they fit its target,
-    then, in hash order, documents up to the exact remaining budget; the
-    document at the cut gives its first words.  The order depends on the id, the
-    size and ``seed`` alone, so reruns agree.  Rows with equal ids of equal size
-    are interchangeable and are kept apart by ``row``.  Null text: size 0, taken
-    0.  An empty table gives an empty result.  Columns besides the three named
-    ones are ignored, whatever their names.
-    """
+def _shares(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """(key, doc_id, size, source_size, target, whole_epochs, cut) of every row."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    )
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "size", F.lit(seed)))
-    rows = rows.withColumn("bucket", F.expr(f"shiftrightunsigned(key, {64 - (BUCKETS - 1).bit_length()})").cast("int"))
-    rows = materialize(rows)
+        row_key(id_col, text_col, source_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+    )
+    rows = materialize(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     base = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket"))
     bases = sums.select(F.col("source"), F.col("bucket"), (base - F.col("bucket_size")).alias("base"))
     bases = bases.alias("b").join(per_source.alias("t"), F.expr("b.source <=> t.source"))
     bases = bases.select("b.source", "b.bucket", "b.base", "t.source_size", "t.target")
-    inner = Window.partitionBy("source", "bucket").orderBy(F.expr("key"), F.col("doc_id")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    inner = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     out = rows.alias("r").join(bases.alias("s"), F.expr("r.source <=> s.source AND r.bucket = s.bucket"))
     size, source_size = F.col("size"), F.col("source_size")
@@ -96,11 +84,34 @@ def mix(
     rest = budget - epochs * source_size
     cut = F.greatest(F.lit(0), F.least(size, rest - F.col("base") - F.col("inner")))
     return out.select(
-        F.col("doc_id"), size, source_size.cast("long").alias("source_size"), F.col("target"),
-        (epochs * size + cut).cast("long").alias("taken"), epochs.alias("whole_epochs"),
+        "key", F.col("doc_id"), size, source_size.cast("long").alias("source_size"), F.col("target"), epochs.alias("whole_epochs"), cut.cast("long").alias("cut")
     )
 
 
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+) -> DataFrame:
+    """Per document: id, size, source_size, target, taken (words, repeats counted), whole_epochs.
+
+    A source takes whole epochs of all its documents while they fit its target,
+    then, in hash order, documents up to the exact remaining budget; the
+    document at the cut gives its first words.  The order depends on the source,
+    the id and the text alone, so reruns agree; rows that are equal in all three
+    are interchangeable, and each counts.  Null text: size 0, taken 0; a null
+    source is a source of its own; null ids are ids like others.  Texts of any
+    length are counted whole.  An empty table gives an empty result.  Columns
+    besides the three named ones are ignored, whatever their names.
+    """
+    rows = _shares(docs, id_col, text_col, source_col, weights, max_epochs)
+    taken = F.col("whole_epochs") * F.col("size") + F.col("cut")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "whole_epochs")
+
+
 def first_words(text: Column, words: Column) -> Column:
     """The first ``words`` words of the text, joined by one blank."""
     return F.call_function("substring_index", F.ltrim(F.regexp_replace(text, F.lit(r"[\x20\x09-\x0D]+"), F.lit(" "))), F.lit(" "), words.cast("int"))
@@ -113,19 +124,21 @@ def materialize_mix(
 ) -> DataFrame:
     """The mixed corpus itself: rows of ``docs``, a row an epoch, cut texts with ``n_chars`` counted anew.
 
-    Documents that the mix takes nothing of give no row.  Rows of one id share
-    what the mix takes of them in the order of their sizes.
+    Documents that the mix takes nothing of give no row.  Rows that are equal in
+    source, id and text share what the mix takes of them, one after another.
     """
-    plan = mix(docs, weights=weights, max_epochs=max_epochs).select("doc_id", "size", "taken")
-    same = Window.partitionBy("doc_id", "size").orderBy("taken")
-    plan = plan.withColumn("nth", F.row_number().over(same)).where("taken > 0")
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source", "text")))
-    rows = rows.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.size = p.size AND d.nth = p.nth"))
-    rows = rows.select("d.*", "p.taken")
-    rows = rows.withColumn("words", F.explode(F.expr("transform(sequence(0, cast(ceil(taken / size) as int) - 1), k -> least(size, taken - k * size))")))
-    cut = F.col("words") < F.col("size")
-    text = F.when(cut, first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.drop("size", "nth", "taken", "words")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    plan = _shares(docs, "doc_id", "text", "source", weights, max_epochs)
+    plan = plan.groupBy("key").agg(F.first("size").alias("size"), F.first("whole_epochs").alias("whole_epochs"), F.sum("cut").alias("cut"))
+    plan = plan.select("key", F.struct("size", "whole_epochs", "cut").alias("share"))
+    rows = docs.select(F.struct(*own).alias("row"), row_key("doc_id", "text", "source").alias("key"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    rows = rows.join(plan, "key")
+    size = F.col("share.size")
+    cut = F.greatest(F.lit(0), F.least(size, F.col("share.cut") - (F.col("nth") - 1) * size))
+    rows = rows.withColumn("taken", F.col("share.whole_epochs") * size + cut).where("taken > 0")
+    rows = rows.withColumn("words", F.explode(F.expr("transform(sequence(0, cast(ceil(taken / share.size) as int) - 1), k -> least(share.size, taken - k * share.size))")))
+    part = F.col("words") < size
+    text = F.when(part, first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(part, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
