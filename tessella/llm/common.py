@@ -1,9 +1,8 @@
-"""Shared helpers: table access, shared folders, batching and key-range buckets."""
+"""Shared helpers: table access, shared folders and batching."""
 
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
+#: Used in local mode only, where the session names no checkpoint folder (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tessella"
 BATCH_BYTES = 8 << 20
 
@@ -22,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches of at most ``BATCH_BYTES``, so that memory is bounded whatever the rows hold."""
+    """Have Arrow batches of at most ``BATCH_BYTES``, so that memory is bounded whatever the rows hold.
+
+    The setting stays, as Spark reads it when the returned plan runs; a smaller one is left alone.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark.conf.get(key)
     if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
@@ -30,12 +32,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set only where the session has none."""
+    """The folder that all executors share; a cluster session has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if path is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{LOCAL_CHECKPOINTS}"
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -48,12 +53,30 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet (ZSTD) under the shared folder and read it back."""
+    """Write ``df`` as Parquet (ZSTD) under the shared folder and read it back; ``release`` removes it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _folders.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_folders: dict[str, list[str]] = {}
+
+
+def held_folders(spark: SparkSession) -> list[str]:
+    """Folders written by this application and not released."""
+    return _folders.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, keep: list[str] | None = None) -> None:
+    """Remove the stored folders but ``keep``: for callers that are done with the results read from them."""
+    held, keep = held_folders(spark), keep or []
+    for path in [p for p in held if p not in keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        held.remove(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,33 +94,3 @@ def text_blocks(texts: pa.Array | list[str | None], limit: int = 500_000) -> Ite
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield start, stop, [t or "" for t in column.slice(start, stop - start).to_pylist()]
         start = stop
-
-
-def key_ranges(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """At most ``buckets - 1`` ascending cut points of an integer column, by approximate quantiles."""
-    cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
-        key, [i / buckets for i in range(1, buckets)], min(0.01, 0.25 / buckets)
-    )
-    return sorted({int(c) for c in cuts})
-
-
-def range_bucket(key: str, cuts: list[int]):
-    """JVM-side index of the key range: ``array_position``-free binary split on literals."""
-    if not cuts:
-        return F.lit(0)
-
-    def build(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(build(0, len(cuts)))
-
-
-def bucket_index(cuts: list[int], value: int | None) -> int:
-    return 0 if value is None else bisect_right(cuts, value)
-
-
-def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in fields])

@@ -20,7 +20,9 @@ ONE_LETTER = "stmd"
 TWO_LETTERS = ("re", "ve", "ll")
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_PRIME = (1 << 31) - 1
+_BASES = (1_316_218_561, 804_637_993)
+_residues: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 @cache
@@ -114,13 +116,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _lanes(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of two random bases and of their inverses modulo ``_PRIME``, at least ``size`` of each; the longest made are kept."""
+    if len(_residues) < 2 or len(_residues[0][0]) < size:
+        length = 1 << max(16, (size - 1).bit_length())
+        _residues.clear()
+        for base in _BASES:
+            pair = []
+            for b in (base, pow(base, -1, _PRIME)):
+                out = np.ones(1, np.uint64)
+                while len(out) < length:
+                    out = np.concatenate([out, _modulo(out * np.uint64(pow(b, len(out), _PRIME)))])
+                pair.append(out.astype(np.uint32))
+            _residues.append(tuple(pair))
+    return _residues
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Least residues modulo ``_PRIME`` of numbers under 2**63."""
+    p, by = np.uint64(_PRIME), np.uint64(31)
+    x = (x & p) + (x >> by)
+    x = (x & p) + (x >> by)
+    return np.where(x >= p, x - p, x)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's content, independent of its place."""
+    """64-bit hash of each span's content, independent of its place.
+
+    Two polynomials modulo a prime: no pair of contents collides whatever the
+    base, as some do modulo a power of two.
+    """
     n = len(values)
-    up, down = powers(n + 1)
+    p, by = np.uint64(_PRIME), np.uint64(31)
+    plain = values.astype(np.uint64) + np.uint64(1)
+    out = (ends - starts).astype(np.uint64) << np.uint64(40)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for k, (up, down) in enumerate(_lanes(n + 1)):
+        part = plain * up[:n]
+        np.cumsum((part & p) + (part >> by), out=total[1:])
+        own = _modulo(_modulo(total[ends] - total[starts]) * down[starts])
+        out = mixed(out ^ own) if k else out ^ (own << np.uint64(31))
+    return out
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,3 +165,32 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     where = np.empty(len(found), np.int64)
     where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     return codes, found, where
+
+
+def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each span, first span of each code): equal codes for equal contents only.
+
+    Codes come from hashes; every span is then held against the first of its
+    code, value by value, and spans of a code that differ get codes of their own.
+    """
+    codes, _, where = distinct(span_hashes(values, starts, ends))
+    codes = codes.astype(np.int64)
+    size, first = ends - starts, where[codes]
+    differs = size != size[first]
+    again = np.flatnonzero((first != np.arange(len(codes))) & ~differs)
+    stops = np.cumsum(size[again])
+    if len(again):
+        at = np.arange(int(stops[-1])) + np.repeat(starts[again] - (stops - size[again]), size[again])
+        wrong = values[at] != values[at + np.repeat(starts[first[again]] - starts[again], size[again])]
+        if wrong.any():
+            differs[again[np.unique(np.searchsorted(stops, np.flatnonzero(wrong), side="right"))]] = True
+    if differs.any():
+        mixed_up = np.flatnonzero(np.isin(codes, codes[differs]))
+        names: dict[bytes, int] = {}
+        for i in mixed_up.tolist():
+            name = values[starts[i] : ends[i]].tobytes()
+            codes[i] = names.setdefault(name, len(where) + len(names))
+        codes, found = pd.factorize(codes)
+        where = np.empty(len(found), np.int64)
+        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, where

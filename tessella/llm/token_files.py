@@ -28,16 +28,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import byte_letters
-from .common import key_ranges, materialize, range_bucket, shared_dir, shuffle_width, small_batches, text_blocks
-from .pretoken import code_points, distinct, span_hashes, token_spans
+from .common import held_folders, materialize, shared_dir, shuffle_width, small_batches, text_blocks
+from .pretoken import code_points, distinct_spans, token_spans
 
 MAGIC = b"FIXBITS1"
 BLOCK = 4096
+#: A file ends with the document that reaches so many ids.
+FILE_IDS = 1 << 24
 _HEAD = struct.Struct("<8sIIQQ")
 
 
@@ -106,10 +108,11 @@ class CachedTokenizer:
 
     The vocabulary's pre-tokeniser cuts a text before merging, so a text's ids
     are those of its pre-tokens in order, each by the library's model.  Texts
-    with special strings go to the library whole.
+    with special strings go to the library whole.  The cache is emptied when its
+    pre-tokens hold ``max_chars`` characters.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_chars: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,17 +122,18 @@ class CachedTokenizer:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.max_words = max_words
+        self.max_chars = max_chars
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
+    def _learn(self, words: list[str]) -> None:
         spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
         got = [[t.id for t in self.tokenize(w)] for w in spelled]
         sizes = np.asarray([len(g) for g in got], np.int64)
@@ -143,27 +147,30 @@ class CachedTokenizer:
         self.flat[n : n + len(flat)] = flat
         self.first[k : k + len(words)] = n + np.cumsum(sizes) - sizes
         self.sizes[k : k + len(words)] = sizes
-        self.known.update(zip(hashes, range(k, k + len(words)), strict=True))
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
         self.used += len(flat)
+        self.chars += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if any("<|" in t and any(s in t for s in self.specials) for t in texts):
-            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        special = [d for d, t in enumerate(texts) if "<|" in t and any(s in t for s in self.specials)]
+        if special:
+            out = self.encode(["" if d in special else t for d, t in enumerate(texts)])
+            for d in special:
+                out[d] = np.asarray(self.tokenizer.encode(texts[d], add_special_tokens=False).ids, np.uint32)
+            return out
         points, offsets = code_points(texts)
         if not len(points):
             return [np.empty(0, np.uint32)] * len(texts)
         starts, ends = token_spans(points, offsets, blanks=True)
-        codes, found, where = distinct(span_hashes(points, starts, ends))
-        hashes = found.tolist()
-        if len(self.known) > self.max_words:
+        codes, where = distinct_spans(points, starts, ends)
+        joined = "".join(texts)
+        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if self.chars > self.max_chars:
             self._clear()
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        if new:
-            joined = "".join(texts)
-            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-            self._learn([joined[a:b] for a, b in spans], [hashes[k] for k in new])
-        slots = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))[codes]
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        slots = np.asarray([self.known[w] for w in words], np.int64)[codes]
         sizes = self.sizes[slots]
         stops = np.cumsum(sizes)
         at = np.repeat(self.first[slots] - (stops - sizes), sizes) + np.arange(int(stops[-1]))
@@ -194,30 +201,29 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_files(
-    docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-    end_id: int = 0, shards: int | None = None,
+    docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0
 ) -> DataFrame:
     """Encode all documents and write them as token files in ascending id order.
 
-    Returns (shard, path, tokens), one row a file.  Null and empty texts hold
-    the end id alone; rows with equal ids follow in text order; rows with a null
-    id come first, as id -2**63.  No file is written for an empty table.  The
-    texts are shuffled once, to the key range of their file.
+    Returns (shard, path, tokens), one row a file; files in the order of their
+    shard hold the documents in order.  Null and empty texts hold the end id
+    alone; rows with equal ids follow in the order of their texts' hashes; rows
+    with a null id come first, as id -2**63.  No file is written for an empty
+    table.  The texts are shuffled once, to ranges of (id, hash of the text), so
+    rows of one id need not meet; a file ends at ``FILE_IDS`` ids or the range's
+    end, and a document is never cut.
     """
     path = vocabulary or default_vocabulary()
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    width = shuffle_width(spark)
-    cuts = key_ranges(rows, "doc_id", shards or 4 * width)
-    rows = rows.withColumn("shard", range_bucket("doc_id", cuts))
-    rows = rows.repartition(width, "shard").sortWithinPartitions("shard", "doc_id", "text")
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("tokens", T.LongType())])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    order = ("doc_id", "tie")
+    rows = rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def finish(shard: int, doc_ids: list[int], ids: list[np.ndarray], bits: int) -> tuple[int, str, int]:
         where, base = _place(folder)
         where.create_dir(base, recursive=True)
-        name = f"{base}/shard-{shard:08d}.tok"
+        name = f"{base}/shard-{shard:016d}.tok"
         half = f"{base}/_{uuid.uuid4().hex}.part"
         with where.open_output_stream(half) as out:
             out.write(file_bytes(doc_ids, ids, bits))
@@ -228,31 +234,31 @@ def write_files(
         coder = tokenizer(path)
         bits = max(1, (max(coder.size - 1, end_id)).bit_length())
         end = np.asarray([end_id], np.uint32)
-        shard, doc_ids, ids, done = None, [], [], []
+        shard, doc_ids, ids, held, done = TaskContext.get().partitionId() << 32, [], [], 0, []
         for batch in batches:
-            shards_, keys = (batch.column(c).to_pylist() for c in ("shard", "doc_id"))
+            keys = batch.column("doc_id").to_pylist()
             for start, _, block in text_blocks(batch.column("text")):
                 for k, got in enumerate(coder.encode(block), start):
-                    if shards_[k] != shard:
-                        if doc_ids:
-                            done.append(finish(shard, doc_ids, ids, bits))
-                        shard, doc_ids, ids = shards_[k], [], []
+                    if held >= FILE_IDS:
+                        done.append(finish(shard, doc_ids, ids, bits))
+                        shard, doc_ids, ids, held = shard + 1, [], [], 0
                     doc_ids.append(-(2**63) if keys[k] is None else keys[k])
                     small = np.concatenate([got, end])
                     ids.append(small.astype(np.uint16) if bits <= 16 else small)
+                    held += len(small)
         if doc_ids:
             done.append(finish(shard, doc_ids, ids, bits))
-        cols = [pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())]
+        cols = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, ["shard", "path", "tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "shard long, path string, tokens long")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, doc_id, local_start, n_tokens, ids_crc32) of each document of a folder's files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
-    rows = files.select(F.regexp_extract("path", r"shard-(\d+)\.tok", 1).cast("int").alias("shard"), "content")
-    schema = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+    rows = files.select(F.regexp_extract("path", r"shard-(\d+)\.tok", 1).cast("long").alias("shard"), "content")
+    schema = "shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +267,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(held.document(k).astype("<u4").tobytes()) for k in range(len(held.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(crcs), shard, np.int32)), pa.array(held.doc_ids), pa.array(held.starts[:-1]),
+                        pa.array(np.full(len(crcs), shard, np.int64)), pa.array(held.doc_ids), pa.array(held.starts[:-1]),
                         pa.array(held.lengths), pa.array(crcs, pa.int64()),
                     ],
                     ["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"],
@@ -275,9 +281,13 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Per document: doc_id, start (ids of all documents before it), n_tokens and
     ids_crc32.  A file's base is the sum of the files before it: one row a file.
+    Repeated rows, null ids, null texts and an empty table: see ``write_files``;
+    a null id is read back as -2**63.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+        held_folders(spark).append(folder)
     written = materialize(write_files(docs, folder, id_col, text_col, vocabulary))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = written.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
