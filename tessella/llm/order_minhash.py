@@ -1,15 +1,13 @@
 """Document fingerprints by Order MinHash.
 
 A text's items are its k-mers of characters, each with its occurrence number, so
-repeats count.  For each of ``ROWS`` orders the ``KEEP`` least items are taken,
-put back in text order and hashed together; two texts agree in a row if they
-share those items in the same order, which edits and moved passages disturb.
-
-The orders are rotations of one random order: items lie on a circle by their
-hash, and row j takes the first items after the j-th of ``ROWS`` even points.  So
-all rows together cost one pass and a small sort, and short texts need no other
-rule.  In long texts only the items near the points are sorted; should a point
-find too few there, all items of that text are.
+repeats count.  For each of ``ROWS`` random orders the ``KEEP`` least items are
+taken, put back in text order and hashed together; two texts agree in a row if
+they share those items in the same order, which edits and moved passages disturb.
+
+An order is a random permutation of the items' 32-bit hashes (an odd factor and
+an addend of its own), so orders are independent of each other and one rule holds
+for texts of every length.
 """
 
 from __future__ import annotations
@@ -19,89 +17,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bucket_index, key_ranges, range_bucket, shuffle_width, small_batches
-from .pretoken import code_points, mixed, powers
+from .common import shuffle_width, small_batches, stored
+from .pretoken import code_points, mixed
 
 K = 8
 ROWS = 64
 KEEP = 2
-NEAR = 12
+#: Items that are ordered at a time.
+COLUMNS = 4096
+#: k-mers up to this number are sorted with their positions in one word.
 POSITION_BITS = 24
 
-_POINTS = (np.arange(ROWS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+_RNG = np.random.default_rng(20250131)
+_PLACE = (_RNG.integers(0, 1 << 63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_FACTOR = (_RNG.integers(0, 1 << 32, ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_ADDEND = _RNG.integers(0, 1 << 32, ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _items(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kmers(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """k-mer hash at each start, and the number of k-mers of each text (at least 1 unless empty)."""
     n = len(points)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     lengths = np.diff(offsets)
     counts = np.where(lengths >= K, lengths - K + 1, np.minimum(lengths, 1))
-    ends = np.minimum(np.arange(n) + K, n)
-    short = np.flatnonzero((lengths < K) & (lengths > 0))
-    ends[offsets[short]] = offsets[short + 1]
-    return mixed((total[ends] - total[:-1]) * down[:n]), counts
+    padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(K, np.uint64)])
+    sums = np.zeros(n, np.uint64)
+    for k in range(K):
+        sums += padded[k : k + n] * _PLACE[k]
+    for d in np.flatnonzero((lengths < K) & (lengths > 0)).tolist():
+        a, b = offsets[d], offsets[d + 1]
+        sums[a] = (padded[a:b] * _PLACE[: b - a]).sum()
+    return mixed(sums), counts
+
+
+def _items(h: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the items of one text, in text order."""
+    n, shift = len(h), np.uint64(POSITION_BITS)
+    if n <= 1 << POSITION_BITS:
+        low = np.uint64((1 << POSITION_BITS) - 1)
+        packed = (h & ~low) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        name, place = packed >> shift, (packed & low).astype(np.int64)
+    else:
+        place = np.argsort(h >> shift, kind="stable")
+        name = h[place] >> shift
+    seen = np.arange(n)
+    new = np.concatenate([[True], name[1:] != name[:-1]])
+    number = seen - np.maximum.accumulate(np.where(new, seen, 0))
+    out = np.empty(n, np.uint32)
+    out[place] = mixed(name * _MULT + number.astype(np.uint64)) >> np.uint64(32)
+    return out
 
 
 def _rows(h: np.ndarray) -> np.ndarray:
     """The fingerprint of one text from its k-mer hashes in text order."""
-    n = len(h)
-    if not n:
+    if not len(h):
         return np.zeros(ROWS, np.uint16)
-    if n > 1 << POSITION_BITS:
-        return _long_rows(h)
-    shift, low = np.uint64(POSITION_BITS), np.uint64((1 << POSITION_BITS) - 1)
-    packed = (h & ~low) | np.arange(n, dtype=np.uint64)
-    packed.sort()
-    name = packed >> shift
-    seen = np.arange(n)
-    new = np.ones(n, bool)
-    new[1:] = name[1:] != name[:-1]
-    number = seen - np.maximum.accumulate(np.where(new, seen, 0))
-    circle = mixed(name * _MULT + number.astype(np.uint64))
-    circle = (circle & ~low) | (packed & low)
-    window = (NEAR * ROWS << 58) // n
-    order = None
-    if window < 1 << 57:
-        order = circle[(circle & np.uint64((1 << 58) - 1)) < np.uint64(window)]
-        order.sort()
-        at = np.searchsorted(order, _POINTS)
-        if (np.diff(np.append(at, len(order))) < KEEP).any():
-            order = None
-    if order is None:
-        order = np.sort(circle)
-        at = np.searchsorted(order, _POINTS)
-    took = order[(at[:, None] + np.arange(KEEP)) % len(order)]
-    took = np.take_along_axis(took, np.argsort(took & low, axis=1, kind="stable"), 1)
+    items, line = _items(h), np.arange(ROWS)
+    ranks, places = [], []
+    for a in range(0, len(items), COLUMNS):
+        order = items[a : a + COLUMNS] * _FACTOR + _ADDEND
+        for k in range(min(KEEP, order.shape[1])):
+            at = order.argmin(1)
+            ranks.append(order[line, at])
+            places.append(at + a)
+            if k + 1 < KEEP:
+                order[line, at] = 0xFFFFFFFF
+    rank, place = np.stack(ranks, 1), np.stack(places, 1)
+    least = np.argsort(rank, axis=1, kind="stable")[:, :KEEP]
+    took = np.sort(np.take_along_axis(place, least, 1), axis=1)
     out = np.zeros(ROWS, np.uint64)
-    for k in range(KEEP):
-        out = mixed(out * _MULT + (took[:, k] >> shift) + np.uint64(k + 1))
-    return (out >> np.uint64(48)).astype(np.uint16)
-
-
-def _long_rows(h: np.ndarray) -> np.ndarray:
-    """``_rows`` of more k-mers than ``POSITION_BITS`` count: the same names and items, positions beside them."""
-    n, shift = len(h), np.uint64(POSITION_BITS)
-    name = h >> shift
-    place = np.argsort(name, kind="stable")
-    name = name[place]
-    seen = np.arange(n)
-    number = seen - np.maximum.accumulate(np.where(np.concatenate([[True], name[1:] != name[:-1]]), seen, 0))
-    item = mixed(name * _MULT + number.astype(np.uint64)) >> shift
-    order = np.lexsort((place, item))
-    item, place = item[order], place[order]
-    took = (np.searchsorted(item, _POINTS >> shift)[:, None] + np.arange(KEEP)) % n
-    took = np.take_along_axis(took, np.argsort(place[took], axis=1, kind="stable"), 1)
-    out = np.zeros(ROWS, np.uint64)
-    for k in range(KEEP):
-        out = mixed(out * _MULT + item[took[:, k]] + np.uint64(k + 1))
+    for k in range(took.shape[1]):
+        out = mixed(out * _MULT + items[took[:, k]].astype(np.uint64) + np.uint64(k + 1))
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
@@ -111,11 +102,11 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 1_000_000):
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= 300_000):
             size += len(texts[stop])
             stop += 1
         points, offsets = code_points(texts[start:stop])
-        h, counts = _items(points, offsets) if size else (points, np.zeros(stop - start, np.int64))
+        h, counts = _kmers(points, offsets)
         for d, (a, c) in enumerate(zip(offsets.tolist(), counts.tolist(), strict=False)):
             if c:
                 out[start + d] = _rows(h[a : a + c])
@@ -134,7 +125,15 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - cut] + other[:cut]
 
 
-def _batch(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
+DONE, LAST, FIRST = 0, 1, 2
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+)
+
+
+def _batch(pairs: list[tuple[int | None, str, str]]) -> list[pa.Array]:
+    """Result columns of (id, text, next text)."""
     texts = [p[1] for p in pairs]
     new = [edited(t, o) for _, t, o in pairs]
     own, changed = fingerprints(texts), fingerprints(new)
@@ -146,66 +145,78 @@ def _batch(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     if rest:
         other[rest] = fingerprints([pairs[i][2] for i in rest])
     hexed = lambda rows: pa.array([r.astype(">u2").tobytes().hex() for r in rows], pa.string())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
-            hexed(own), hexed(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, other)),
-        ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
-
-
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return [
+        pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
+        hexed(own), hexed(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, other)),
+    ]
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of all documents of a range but the last; and its last and first texts, for their neighbours."""
+    part = TaskContext.get().partitionId()
+    names = [*SCHEMA.names, "part", "kind", "text"]
+
+    def end(kind: int, key: int | None, text: str) -> pa.RecordBatch:
+        empty = [pa.nulls(1, t) for t in SCHEMA.types[1:]]
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *empty, pa.array([part]), pa.array([kind]), pa.array([text], pa.string())], names)
+
+    before: tuple[int | None, str] | None = None
+    ready: list[tuple[int | None, str, str]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        n = len(ready)
+        return pa.RecordBatch.from_arrays([*_batch(ready), pa.array([part] * n), pa.array([DONE] * n), pa.nulls(n, pa.string())], names)
+
+    for batch in batches:
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if before is None:
+                yield end(FIRST, None, text)
+            else:
+                ready.append((*before, text))
+                size += len(text)
+            before = key, text
+            if size > 1_000_000:
+                yield flush()
+                ready, size = [], 0
+    if ready:
+        yield flush()
+    if before is not None:
+        yield end(LAST, *before)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(len(batch)):
+            row = tuple(batch.column(c)[k].as_py() for c in ("doc_id", "text", "other"))
+            yield pa.RecordBatch.from_arrays(_batch([row]), SCHEMA.names)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
     The next document is the one before it in id order (descending ids; the
-    least id is followed by the greatest); equal ids follow in text order and a
-    null id counts as least.  A null text is empty.  One document alone follows
-    itself.  Texts are shuffled once, to key ranges of the id; the greatest
-    document of each range goes to the range above as well, so that every pair
-    meets.  Only one id a range comes to the driver.
+    least id is followed by the greatest); equal ids follow in the order of their
+    texts' hashes, and a null id counts as least.  A null text is empty; repeated
+    rows all stay; texts are taken whole, whatever their length; other columns
+    are ignored; an empty table gives an empty result.  One document alone
+    follows itself.  Texts are shuffled once, to ranges of (id, hash of the
+    text); the last document of each range meets the first of the next one in a
+    join of two rows a range.  Only the numbers of the ranges come to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("place"),
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("tie")
     )
-    width = shuffle_width(spark)
-    cuts = key_ranges(rows, "place", 4 * width)
-    tops = rows.select("place").groupBy(range_bucket("place", cuts).alias("bucket")).agg(F.max("place").alias("top")).collect()
-    tops = sorted(t.top for t in tops)
-    if not tops:
-        return spark.createDataFrame([], SCHEMA)
-    # the greatest id of a range serves the next range that has rows; the last one's serves the first
-    guests = [(top, bucket_index(cuts, tops[(i + 1) % len(tops)])) for i, top in enumerate(tops)]
-    homes = spark.createDataFrame(guests, "place long, guest_of int")
-    here = F.struct(range_bucket("place", cuts).alias("bucket"), F.lit(0).alias("guest"))
-    there = F.struct(F.col("guest_of").alias("bucket"), F.lit(1).alias("guest"))
-    rows = rows.join(F.broadcast(homes), "place", "left")
-    rows = rows.withColumn("to", F.explode(F.when(F.col("guest_of").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    rows = rows.select("doc_id", "text", "place", "to.bucket", "to.guest")
-    rows = rows.repartition(width, "bucket").sortWithinPartitions("bucket", "guest", F.desc("place"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int | None, str, int] | None = None
-        ready: list[tuple[int | None, str, str]] = []
-        size = 0
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest"))
-            for key, text, bucket, guest in zip(*cols, strict=True):
-                if before is not None and before[2] == bucket:
-                    ready.append((before[0], before[1], text))
-                    size += len(before[1])
-                before = None if guest else (key, text, bucket)
-                if size > 2_000_000:
-                    yield _batch(ready)
-                    ready, size = [], 0
-        if ready:
-            yield _batch(ready)
-
-    return rows.mapInArrow(run, SCHEMA)
+    order = (F.col("doc_id").desc_nulls_last(), F.col("tie"))
+    rows = rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    found = stored(rows.mapInArrow(_ranges, f"{FIELDS}, part long, kind long, text string"), "fingerprints")
+    ends = found.where(F.col("kind") > DONE).select("doc_id", "part", "kind", "text")
+    parts = sorted(r.part for r in ends.where(F.col("kind") == LAST).select("part").collect())
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, next long")
+    last = ends.where(F.col("kind") == LAST).join(F.broadcast(after), "part").select("doc_id", "text", "next")
+    first = ends.where(F.col("kind") == FIRST).select(F.col("part").alias("next"), F.col("text").alias("other"))
+    met = last.join(first, "next").select("doc_id", "text", "other").mapInArrow(_pairs, FIELDS)
+    return found.where(F.col("kind") == DONE).select(*SCHEMA.names).unionByName(met)
