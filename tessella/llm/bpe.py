@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .pretoken import code_points, distinct, span_hashes, token_spans
+from .pretoken import code_points, distinct_spans, token_spans
 
 END = "</w>"
 NONE = np.int64(1 << 40)
+#: Words of up to ``WIDE`` symbols are merged side by side, ``ROWS`` at a time.
+WIDE, ROWS = 48, 2048
 
 
 @cache
@@ -47,7 +52,7 @@ class MergeTable:
         keys = np.asarray([(x << 20) | y for x, y in self.pairs], np.int64)
         order = np.argsort(keys)
         self._keys = keys[order]
-        self._ranks = np.asarray([r for r, _ in self.pairs.values()], np.int64)[order]
+        self._ranks, self._made = (np.asarray(v, np.int64)[order] for v in zip(*self.pairs.values(), strict=True))
         own = np.flatnonzero(self.rank >= 0)
         good = self.compatible(self.left[own], self.right[own], own=True)
         self.reachable = np.ones(size, bool)
@@ -56,9 +61,13 @@ class MergeTable:
             self.reachable[t] &= self.reachable[self.left[t]] and self.reachable[self.right[t]]
 
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self._pair(x, y)[0]
+
+    def _pair(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``NONE`` without a merge), and the token it makes."""
         key = (x << 20) | y
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], NONE)
+        return np.where(self._keys[at] == key, self._ranks[at], NONE), self._made[at]
 
     def compatible(self, a: np.ndarray, b: np.ndarray, own: bool = False) -> np.ndarray:
         """Whether merging never crosses the boundary between tokens a and b.
@@ -121,6 +130,43 @@ class MergeTable:
         return [t for t in ids if t >= 0]
 
 
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """``merge`` of many words: a round merges the lowest, leftmost pair of each."""
+        out: list[list[int]] = [[] for _ in words]
+        size = np.asarray([len(w) for w in words])
+        for i in np.flatnonzero(size > WIDE).tolist():
+            out[i] = self.merge(words[i])
+        short = np.flatnonzero(size <= WIDE)
+        short = short[np.argsort(size[short], kind="stable")]
+        for a in range(0, len(short), ROWS):
+            rows = short[a : a + ROWS]
+            wide = int(size[rows].max()) + 1
+            ids = np.full((len(rows), wide), -1, np.int64)
+            for k, i in enumerate(rows.tolist()):
+                ids[k, : size[i]] = words[i]
+            rank, made = self._pair(ids[:, :-1], ids[:, 1:])
+            every = np.arange(wide)
+            while len(rows):
+                at = rank.argmin(1)
+                line = np.arange(len(rows))
+                go = rank[line, at] < NONE
+                if not go.all():
+                    for i, left in zip(rows[~go].tolist(), ids[~go].tolist(), strict=True):
+                        out[i] = left[: left.index(-1)]
+                    rows, ids, rank, made, at = rows[go], ids[go], rank[go], made[go], at[go]
+                    line = line[: len(rows)]
+                    if not len(rows):
+                        break
+                ids[line, at] = made[line, at]
+                shifted = np.minimum(every + (every > at[:, None]), wide - 1)
+                ids = np.take_along_axis(ids, shifted, 1)
+                rank = np.take_along_axis(rank, shifted[:, :-1].clip(max=wide - 2), 1)
+                made = np.take_along_axis(made, shifted[:, :-1].clip(max=wide - 2), 1)
+                for spot in (np.maximum(at - 1, 0), at):
+                    rank[line, spot], made[line, spot] = self._pair(ids[line, spot], ids[line, spot + 1])
+        return out
+
+
 class WordBpe:
     """Encoder and decoder of a word BPE file (lower case, white space dropped, word ends)."""
 
@@ -161,10 +207,9 @@ class WordBpe:
                 return None
         return out
 
-    def _merged(self, s: str) -> list[int]:
+    def _symbols(self, s: str) -> list[int]:
         vocab = self.table.vocab
-        symbols = [*s[:-1], s[-1] + END]
-        return self.table.merge([vocab[c] for c in symbols if c in vocab])
+        return [vocab[c] for c in (*s[:-1], s[-1] + END) if c in vocab]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each (normalised, non-empty) word."""
@@ -180,8 +225,9 @@ class WordBpe:
         failed = np.zeros(len(words), bool)
         failed[owner[inside[~good[back]]]] = True
         failed |= np.asarray([g is None for g in guesses], bool)
-        for i in np.flatnonzero(failed).tolist():
-            guesses[i] = self._merged(spelled[i])
+        exact = np.flatnonzero(failed).tolist()
+        for i, ids in zip(exact, self.table.merge_all([self._symbols(spelled[i]) for i in exact]), strict=True):
+            guesses[i] = ids
         self.exact += int(failed.sum())
         self.words += len(words)
         return guesses
@@ -201,88 +247,74 @@ def normalised(text: str) -> str:
 class TextEncoder:
     """Encode whole texts through a cache of distinct words.
 
-    The cache maps a word's 64-bit hash to its tokens and is emptied when it
-    holds ``max_words``, so memory is bounded.
+    The cache maps words to their tokens.  It is emptied when its words hold
+    ``max_chars`` characters, so memory is bounded by that and one block.
     """
 
-    def __init__(self, bpe: WordBpe, max_words: int = 200_000):
-        self.bpe, self.max_words = bpe, max_words
-        self.known: dict[int, int] = {}
+    def __init__(self, bpe: WordBpe, max_chars: int = 2_000_000):
+        self.bpe, self.max_chars = bpe, max_chars
+        self.known: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
+        self.chars = 0
         self.ids: list[str] = []
         self.decoded: list[str] = []
         self.counts: list[int] = []
-        self.blank = False  # whether a word is known that has no token
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
+    def _learn(self, words: list[str]) -> None:
         names = self.bpe.tokens
-        for h, ids in zip(hashes, self.bpe.encode_words(words), strict=True):
-            self.known[h] = len(self.ids)
+        for word, ids in zip(words, self.bpe.encode_words(words), strict=True):
+            self.known[word] = len(self.ids)
+            self.chars += len(word)
             self.ids.append(" ".join(map(str, ids)))
             self.decoded.append(" ".join([names[i] for i in ids]))
             self.counts.append(len(ids))
-            self.blank |= not ids
 
-    def _plain(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of tokens, ids and decoded text of each text."""
         lowered = [normalised(t) for t in texts]
         points, offsets = code_points(lowered)
         starts, ends = token_spans(points, offsets, blanks=False)
-        codes, found, where = distinct(span_hashes(points, starts, ends))
-        hashes = found.tolist()
-        if len(self.known) > self.max_words:
+        codes, where = distinct_spans(points, starts, ends)
+        joined = "".join(lowered)
+        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if self.chars > self.max_chars:
             self._clear()
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        if new:
-            joined = "".join(lowered)
-            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-            self._learn([joined[a:b] for a, b in spans], [hashes[k] for k in new])
-        slots = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
-        sizes = np.fromiter((self.counts[k] for k in slots.tolist()), np.int64, len(slots))[codes] if len(codes) else codes
-        of_token = slots[codes].tolist() if len(codes) else []
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        slots = [self.known[w] for w in words]
+        sizes = np.asarray([self.counts[k] for k in slots], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         edges = np.searchsorted(starts, offsets)
-        totals = np.concatenate([[0], np.cumsum(sizes)])[edges]
-        ids, decoded = self.ids, self.decoded
+        totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[edges])
+        if not sizes.all():  # words without a token leave no blank either
+            edges = np.concatenate([[0], np.cumsum(sizes > 0)])[edges]
+            codes = codes[sizes > 0]
         out = []
-        for d in range(len(texts)):
-            own = of_token[edges[d] : edges[d + 1]]
-            if self.blank:
-                own = [k for k in own if ids[k]]
-            out.append((int(totals[d + 1] - totals[d]), " ".join([ids[k] for k in own]), " ".join([decoded[k] for k in own])))
-        return out
+        for names in (self.ids, self.decoded):
+            each = pa.array([names[k] for k in slots], pa.string()).take(pa.array(codes))
+            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), each), " "))
+        return totals, *out
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids joined by a blank, decoded text) of each text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of tokens, ids joined by a blank, and decoded text of each text."""
         specials = self.bpe.specials
-        parts: list[str] = []
-        plan: list[list[int | str]] = []
-        for text in texts:
-            row: list[int | str] = []
-            for piece in _split_specials(text, specials):
-                if piece in specials:
-                    row.append(piece)
-                else:
-                    row.append(len(parts))
-                    parts.append(piece)
-            plan.append(row)
-        coded = self._plain(parts)
-        out = []
-        for row in plan:
-            if len(row) == 1 and not isinstance(row[0], str):
-                out.append(coded[row[0]])
-                continue
-            got = [coded[p] if not isinstance(p, str) else (1, str(specials[p]), p) for p in row]
+        special = [d for d, t in enumerate(texts) if "<|" in t and any(s in t for s in specials)]
+        coded = self._plain(["" if d in special else t for d, t in enumerate(texts)] if special else texts)
+        if not special:
+            return coded
+        counts, ids, decoded = coded[0].copy(), coded[1].to_pylist(), coded[2].to_pylist()
+        for d in special:
+            pieces = _split_specials(texts[d], specials)
+            own = list(zip(*(c.tolist() for c in self._plain([p for p in pieces if p not in specials])), strict=True))[::-1]
+            got = [(1, str(specials[p]), p) if p in specials else own.pop() for p in pieces]
             got = [g for g in got if g[0]]
-            out.append((sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got)))
-        return out
+            counts[d] = sum(g[0] for g in got)
+            ids[d], decoded[d] = (" ".join(g[k] for g in got) for k in (1, 2))
+        return counts, *(pa.array(c, pa.string()) for c in (ids, decoded))
 
 
 def _split_specials(text: str, specials: dict[str, int]) -> list[str]:
     """The text around special strings, and those strings."""
-    if "<|" not in text or not any(s in text for s in specials):
-        return [text]
-    import re
-
     return [p for p in re.split("(" + "|".join(map(re.escape, specials)) + ")", text) if p]

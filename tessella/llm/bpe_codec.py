@@ -27,20 +27,17 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(WordBpe(path))
 
 
+def _digests(strings: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(s.as_buffer()).hexdigest() for s in strings], pa.string())
+
+
 def _rows(batch: pa.RecordBatch, path: str, texts_out: bool) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
+    names = ["doc_id", "n_tokens", *(("ids", "decoded") if texts_out else ("ids_sha256", "decoded_sha256"))]
     for start, stop, block in text_blocks(batch.column("text")):
-        coded = coder.encode(block)
-        cols = [batch.column(0).slice(start, stop - start), pa.array([c[0] for c in coded], pa.int64())]
-        names = ["doc_id", "n_tokens"]
-        if texts_out:
-            cols += [pa.array([c[1] for c in coded], pa.large_string()), pa.array([c[2] for c in coded], pa.large_string())]
-            names += ["ids", "decoded"]
-        else:
-            for k in (1, 2):
-                cols.append(pa.array([hashlib.sha256(c[k].encode("utf-8", "surrogatepass")).hexdigest() for c in coded], pa.string()))
-            names += ["ids_sha256", "decoded_sha256"]
-        yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in cols], names)
+        counts, *strings = coder.encode(block)
+        strings = [s.cast(pa.string()) if texts_out else _digests(s) for s in strings]
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(counts, pa.int64()), *strings], names)
 
 
 def encode(

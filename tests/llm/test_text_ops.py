@@ -72,9 +72,11 @@ def test_bpe_on_random_words():
     tok = Tokenizer.from_file(bpe_codec.default_vocabulary())
     texts = ["".join(random.choice("aAbßeé'stre 12.!?\n\t “日ñΣ’🙂<|>\u0085") for _ in range(random.randint(0, 40))) for _ in range(800)]
     texts += ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(300)]
-    for t, (n, ids, _) in zip(texts, TextEncoder(bpe, max_words=500).encode(texts), strict=True):
-        want = tok.encode(t, add_special_tokens=False).ids
-        assert (n, ids) == (len(want), " ".join(map(str, want)))
+    coder = TextEncoder(bpe, max_chars=500)
+    for part in (texts, texts[::-1]):
+        for t, n, ids, decoded in zip(part, *(c.tolist() for c in coder.encode(part)), strict=True):
+            want = tok.encode(t, add_special_tokens=False).ids
+            assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), tok.decode(want, skip_special_tokens=False))
     assert 0 < bpe.exact < bpe.words  # both ways were taken
 
 
@@ -123,12 +125,111 @@ def test_order_minhash_sees_order_and_edits():
     assert near[0] > 0.85 and near[0] > near[1] > near[2] and near[2] < 0.1
 
 
-def test_order_minhash_has_no_border_in_length():
-    n = 1 << order_minhash.POSITION_BITS
+def plain_fingerprint(text):
+    """Order MinHash of one text with Python integers and whole sorts."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 31
+        h = h * 0xBF58476D1CE4E5B9 & full
+        h ^= h >> 29
+        h = h * 0x94D049BB133111EB & full
+        return h ^ h >> 32
+
+    grams = [text[i : i + 8] for i in range(max(len(text) - 7, 1))] if text else []
+    seen, items = collections.Counter(), []
+    for g in grams:
+        name = mix(sum((ord(c) + 1) * int(p) for c, p in zip(g, order_minhash._PLACE, strict=False)) & full) >> 24
+        items.append(mix((name * int(order_minhash._MULT) + seen[g]) & full) >> 32)
+        seen[g] += 1
+    out = []
+    for f, a in zip(order_minhash._FACTOR.ravel().tolist(), order_minhash._ADDEND.ravel().tolist(), strict=True):
+        least = sorted(range(len(items)), key=lambda i: ((items[i] * f + a) % (1 << 32), i))[:2]
+        h = 0
+        for k, i in enumerate(sorted(least)):
+            h = mix((h * int(order_minhash._MULT) + items[i] + k + 1) & full)
+        out.append(h >> 48)
+    return out
+
+
+def test_fingerprints_against_whole_sorts(monkeypatch):
+    texts = [t or "" for t in TEXTS if len(t or "") < 3000] + ["a", "ab" * 9, "x" * 7, "x" * 8]
+    want = [plain_fingerprint(t) if t else [0] * 64 for t in texts]
+    assert order_minhash.fingerprints(texts).tolist() == want
+    monkeypatch.setattr(order_minhash, "COLUMNS", 50)
+    assert order_minhash.fingerprints(texts).tolist() == want
+    h = np.random.default_rng(3).integers(0, 1 << 40, 3000, dtype=np.uint64) << np.uint64(24)
+    h = np.concatenate([h, h])
+    own = order_minhash._items(h)
+    monkeypatch.setattr(order_minhash, "POSITION_BITS", 10)
+    assert len(set(own.tolist())) == 6000
+    monkeypatch.undo()
+    n = 1 << order_minhash.POSITION_BITS  # one rule on both sides of the packed sort's length
     h = np.random.default_rng(3).integers(0, 1 << 63, n + 500, dtype=np.uint64) * np.uint64(2)
-    assert order_minhash.likeness(order_minhash._rows(h), order_minhash._rows(h[: n - 500])) > 0.9
-    few = np.repeat(h[:3000], 2)
-    assert (order_minhash._long_rows(few) == order_minhash._rows(few)).all()
+    assert (order_minhash._items(h)[: n - 500] == order_minhash._items(h[: n - 500])).all()
+
+
+def test_orders_are_independent():
+    """Rows of unlike texts agree by chance only, and likeness spreads as independent rows do."""
+    got = []
+    for seed in range(60):
+        words = prose(seed, 200).split()
+        cut = " ".join([*words[:100], *prose(seed + 500, 100).split()])
+        got.append(float(order_minhash.likeness(*order_minhash.fingerprints([" ".join(words), cut]))))
+    mean = np.mean(got)
+    assert 0.02 < mean < 0.4 and np.std(got) < 2 * np.sqrt(mean * (1 - mean) / 64)
+
+
+def test_ranges_of_ids_meet(spark):
+    """Hot and null ids, repeated rows and many ranges: every document meets the next one."""
+    rows = [(i if i % 3 else None, prose(i, 5 + i % 7)) for i in range(90)] + [(500, prose(7, 9))] * 4 + [(500, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for width in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        seen.append(sorted(map(str, order_minhash.fingerprint_edits(df).collect())))
+        files = token_files.round_trip(df).collect()
+        assert sorted(r.start for r in files) == np.cumsum([0, *(r.n_tokens for r in sorted(files, key=lambda r: r.start))])[:-1].tolist()
+        assert [r.doc_id for r in sorted(files, key=lambda r: r.start)] == sorted(r[0] if r[0] is not None else -(2**63) for r in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_powers_of_two_confuse(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tessella.llm import pretoken
+
+    one, two = thue_morse(10)
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    word, byte = (Tokenizer.from_file(m.default_vocabulary()) for m in (bpe_codec, token_files))
+    coded = {r.doc_id: r.ids for r in bpe_codec.encode(df).collect()}
+    files = {r.doc_id: r.ids_crc32 for r in token_files.round_trip(df).collect()}
+    for i, t in rows:
+        assert coded[i] == " ".join(map(str, word.encode(t, add_special_tokens=False).ids))
+        assert files[i] == zlib.crc32(np.asarray([*byte.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert all(r.kept for r in near_dedup.near_components(df).collect())
+    monkeypatch.setattr(pretoken, "span_hashes", lambda v, s, e: np.zeros(len(s), np.uint64))
+    codes, where = pretoken.distinct_spans(np.asarray([1, 2, 1, 2, 3, 1, 2, 2, 1, 2]), np.asarray([0, 2, 4, 5, 8]), np.asarray([2, 4, 5, 7, 10]))
+    assert codes.tolist() == [0, 0, 1, 0, 0] and where.tolist() == [0, 2]
+
+
+def test_merging_side_by_side():
+    from tessella.llm.bpe import WordBpe
+
+    table = WordBpe(bpe_codec.default_vocabulary()).table
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 512, int(n)).tolist() for n in rng.integers(1, 70, 3000)] + [[5] * 30, [7], [64, 64, 64]]
+    assert table.merge_all(words) == [table.merge(w) for w in words]
 
 
 def test_repeats_against_brute_force(docs, plain, empty, spark):
@@ -310,6 +411,29 @@ def plan_targets(sizes, weights=(5, 2, 1)):
         capped |= {s: 3.0 * sizes[s] for s in over}
 
 
+def same_rows(docs):
+    """The mixed rows hold, source by source and text by text, the words that the plan takes, in whole epochs and cuts."""
+    n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    plan = mixing.mix(docs).collect()
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += n(r.text)
+    want = plan_targets(dict(sizes))
+    made = mixing.materialize_mix(docs).collect()
+    got, by_id, planned = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in made:
+        got[r.source] += n(r.text)
+        by_id[r.doc_id] += n(r.text)
+    for r in plan:
+        planned[r.doc_id] += r.taken
+    assert +by_id == +planned
+    assert all(abs(got[s] - want[s]) <= 1 for s in want)
+    whole = {(r.doc_id, r.source, r.text) for r in docs.collect()}
+    cuts = [r for r in made if (r.doc_id, r.source, r.text) not in whole]
+    assert len(cuts) <= len(want)
+    assert all(r.n_chars == len(r.text) for r in cuts)
+
+
 def test_mixing(docs, plain, empty, spark):
     got = mixing.mix(docs).collect()
     sources = {r.doc_id: r.source for r in docs.collect()}
@@ -327,6 +451,10 @@ def test_mixing(docs, plain, empty, spark):
     assert mixing.mix(empty).count() == 0
     words = [r.text for r in mixing.materialize_mix(docs).collect()]
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in words) == sum(taken.values())
+    same_rows(docs)
+    odd = [(i % 20, f"w{i} " * (i % 4 + 2), "x", ("a", "b", None)[i % 3], 1) for i in range(240)]
+    odd += [(i % 200, "same words in both sources", "x", "b" if i < 200 else "a", 1) for i in range(260)] + [(None, "one two", "x", "b", 1)] * 5
+    same_rows(spark.createDataFrame(odd, SCHEMA))
     many = spark.createDataFrame([(i, "w " * (i % 7 + 1), "x", f"s{i % 2}", 1) for i in range(500)], SCHEMA)
     assert abs(sum(r.taken for r in mixing.mix(many).collect()) - sum(i % 7 + 1 for i in range(500))) <= 2
 
