@@ -6,10 +6,14 @@ Terms of a text are its lower-cased letter runs and their proper prefixes of
 numbers, and every pair of terms adds the product of their vectors, so pairs
 such as an insult with a mention of a group are learned, not listed.
 
-Fitting uses at most ``MAX_TRAIN`` labelled rows (the first by a hash of the
-id): term counts by class are summed by Spark, the ``TERMS`` most telling terms
-go to the driver, and the model is fitted there on the sample's matrix, whose
-size those two parameters bound.  Scoring is one pass over whole texts.
+Every term that ``MIN_DOCS`` sampled documents have takes part in fitting, whether
+or not it tells anything alone.  Proximal steps take weights and factors back to
+zero whose gradients do not outweigh a penalty; a term that ends with neither is
+not looked up in scoring.
+
+Fitting uses at most ``MAX_TRAIN`` labelled documents (the first by a hash of the
+id, one text of each): their terms go to the driver, where the machine is fitted.
+Scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, text_blocks
+from .common import small_batches, text_blocks
 from .pretoken import LETTER, char_classes, code_points, distinct, span_hashes
 
 HASH_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
 FACTORS = 4
-TERMS = 1024
+MIN_DOCS = 5
 MAX_TRAIN = 12_000
 THRESHOLD = 0.7
 
@@ -110,113 +114,118 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_matrix(
-    x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 384, pos_weight: float = 4.0, seed: int = 5
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors for a dense matrix, by Adam on the weighted logistic loss.
+@dataclass
+class Rows:
+    """A sparse matrix by rows: ``places`` and ``values`` of row i stand at ``edges[i]`` to ``edges[i + 1]``."""
+
+    edges: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row number among ``rows``, place, value) of the entries of some rows."""
+        size = self.edges[rows + 1] - self.edges[rows]
+        stops = np.cumsum(size)
+        at = np.repeat(self.edges[rows] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+        return np.repeat(np.arange(len(rows)), size), self.places[at], self.values[at]
 
-    Batches follow a seeded order, so equal input gives an equal model.
+
+def fit_rows(
+    x: Rows, y: np.ndarray, width: int, steps: int = 500, batch: int = 384, pos_weight: float = 3.0, rate: float = 0.05,
+    linear_penalty: float = 3e-3, factor_penalty: float = 3e-3, seed: int = 5,
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors of ``width`` places, by proximal Adam steps on the weighted logistic loss.
+
+    Batches follow a seeded order, so equal input gives an equal model.  Without
+    rows of both classes everything stays zero.
     """
     rng = np.random.default_rng(seed)
-    n, m = x.shape
-    bias, w, v = np.zeros(1), np.zeros(m), rng.normal(0, 0.03, (m, FACTORS))
-    params = [bias, w, v]
-    if n and m and 0 < y.sum() < n:
-        share = y.mean()
-        bias[0] = np.log(pos_weight * share / (1 - share))
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-        order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * batch // n))])
-        for step in range(1, steps + 1):
-            rows = order[(step - 1) * batch : step * batch]
-            part, truth = x[rows], y[rows]
-            squared = part * part
-            v32 = v.astype(np.float32)
-            xv = part @ v32
-            raw = bias[0] + part @ w.astype(np.float32) + 0.5 * ((xv**2).sum(1) - squared @ (v32**2).sum(1))
-            g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - truth
-            g = (g * np.where(truth > 0, pos_weight, 1.0) / len(rows)).astype(np.float32)
-            grads = [np.asarray([g.sum()]), part.T @ g + 2e-4 * w, part.T @ (g[:, None] * xv) - (squared.T @ g)[:, None] * v32 + 1e-3 * v]
-            rate = 0.03 * (1 - 0.9 * step / steps)
-            for p, grad, mom in zip(params, grads, moments, strict=True):
-                mom[0] = 0.9 * mom[0] + 0.1 * grad
-                mom[1] = 0.999 * mom[1] + 0.001 * grad * grad
-                p -= rate * (mom[0] / (1 - 0.9**step)) / (np.sqrt(mom[1] / (1 - 0.999**step)) + 1e-8)
+    n = len(y)
+    w, v = np.zeros(width, np.float32), np.zeros((width, FACTORS), np.float32)
+    if not n or not width or not 0 < y.sum() < n:
+        return 0.0, w, v
+    v += rng.normal(0, 0.1, v.shape)
+    share = float(y.mean())
+    bias = np.full(1, np.log(pos_weight * share / (1 - share)))
+    order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * batch // n))])
+    params = [(bias, 0.0), (w, linear_penalty), (v, factor_penalty)]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p, _ in params]
+    for step in range(1, steps + 1):
+        rows = order[(step - 1) * batch : step * batch]
+        own, place, value = x.take(rows)
+        part = v[place] * value[:, None]
+        sums = np.stack([np.bincount(own, part[:, k], len(rows)) for k in range(FACTORS)], 1)
+        squares = np.bincount(own, (part * part).sum(1), len(rows))
+        raw = bias + np.bincount(own, w[place] * value, len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
+        truth = y[rows]
+        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - truth) * np.where(truth > 0, pos_weight, 1.0) / len(rows)
+        pull = (g[own] * value).astype(np.float32)
+        push = pull[:, None] * (sums.astype(np.float32)[own] - part)
+        grads = [np.asarray([g.sum()]), np.bincount(place, pull, width), np.stack([np.bincount(place, push[:, k], width) for k in range(FACTORS)], 1)]
+        now = rate * (1 - 0.9 * step / steps)
+        for (p, penalty), grad, (mean, square) in zip(params, grads, moments, strict=True):
+            grad = grad.astype(p.dtype)
+            mean *= 0.9
+            mean += 0.1 * grad
+            square *= 0.99
+            square += 0.01 * grad * grad
+            reach = now / (np.sqrt(square / (1 - 0.99**step)) + 1e-4)
+            p -= reach * (mean / (1 - 0.9**step))
+            if penalty:
+                p[...] = np.sign(p) * np.maximum(np.abs(p) - reach * penalty, 0)
     return float(bias[0]), w, v
 
 
-def choose_terms(counts: np.ndarray, pos: np.ndarray, n: int, n_pos: int, limit: int = TERMS) -> np.ndarray:
-    """Indices of the terms whose document counts differ most between the classes.
+def machine(docs: int, rows: Rows, y: np.ndarray) -> FactorizationMachine:
+    """Fit on rows of hash places; only the terms that end with a weight keep a slot."""
+    frequent = np.bincount(rows.places, minlength=1 << HASH_BITS) >= MIN_DOCS
+    dense = np.cumsum(frequent) - 1
+    kept = frequent[rows.places]
+    edges = np.concatenate([[0], np.cumsum(kept)])[rows.edges]
+    bias, w, v = fit_rows(Rows(edges, dense[rows.places[kept]], rows.values[kept]), y[:docs], int(frequent.sum()))
+    used = (w != 0) | (v != 0).any(1)
+    slot = np.full(1 << HASH_BITS, -1, np.int32)
+    slot[np.flatnonzero(frequent)[used]] = np.arange(int(used.sum()))
+    return FactorizationMachine(slot, bias, w[used].astype(np.float64), v[used].astype(np.float64))
 
-    ``counts``, ``pos``: documents, and documents of class 1, with the term.
-    By the squared z-score of class 1's share; terms of under three documents
-    and of |z| under 3 are left out.
-    """
-    rate = n_pos / max(n, 1)
-    z = (pos - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-9))
-    good = np.flatnonzero((counts >= 3) & (np.abs(z) >= 3))
-    return good[np.argsort(-np.abs(z[good]), kind="stable")][:limit]
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, places, counts) of every text, both packed as 32-bit numbers."""
+    every = np.arange(1 << HASH_BITS, dtype=np.int32)
+    for batch in batches:
+        for a, b, block in text_blocks(batch.column("text")):
+            d, s, c = _pairs(block, every)
+            edges = np.searchsorted(d, np.arange(b - a + 1)).tolist()
+            packed = [pa.array([v[i:j].astype("<i4").tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for v in (s, c)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), *packed], ["doc_id", "label", "places", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fit on labelled documents outside the held-out third, at most ``max_train`` of them.
 
-    Rows with a null label, id or text class are left out; without labelled rows
-    of both classes the model scores every text alike.
+    Rows with a null label or id are left out; an id that is labelled twice has
+    the higher label, and one that stands in several rows gives one text.
+    Without labelled rows of both classes every text scores 0.5.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_col())
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    texts = stored(texts, "toxicity-sample")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, pos, rows, rows_pos = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32), 0, 0
-        every = np.arange(1 << HASH_BITS)
-        for batch in batches:
-            labels_ = np.asarray(batch.column("label").to_pylist(), np.int64)
-            rows, rows_pos = rows + len(labels_), rows_pos + int(labels_.sum())
-            for a, b, block in text_blocks(batch.column("text")):
-                d, s, _ = _pairs(block, every)
-                total += np.bincount(s, minlength=1 << HASH_BITS).astype(np.int32)
-                pos += np.bincount(s[labels_[a:b][d] > 0], minlength=1 << HASH_BITS).astype(np.int32)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows).astype(np.int64)), pa.array(np.append(pos[seen], rows_pos).astype(np.int64))],
-            ["place", "total", "pos"],
-        )
-
-    parts = texts.coalesce(6).mapInArrow(count, "place long, total long, pos long")
-    sums = parts.groupBy("place").agg(F.sum("total").alias("total"), F.sum("pos").alias("pos")).where("total >= 3 or place < 0").toPandas()
-    whole = sums[sums.place < 0]
-    n, n_pos = (int(whole.total.iloc[0]), int(whole.pos.iloc[0])) if len(whole) else (0, 0)
-    sums = sums[sums.place >= 0].sort_values("place")
-    best = choose_terms(sums.total.to_numpy(float), sums.pos.to_numpy(float), n, n_pos)
-    slot = np.full(1 << HASH_BITS, -1, np.int64)
-    places = np.sort(sums.place.to_numpy()[best])
-    slot[places] = np.arange(len(places))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, block in text_blocks(batch.column("text")):
-                d, s, c = _pairs(block, slot)
-                edges = np.searchsorted(d, np.arange(b - a + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v.astype(np.int32))) for v in (s, c)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), *lists], ["doc_id", "label", "s", "c"])
-
-    rows = texts.mapInArrow(gather, "doc_id long, label int, s array<int>, c array<int>").toPandas()
-    rows = rows.assign(size=rows.s.map(len), total=rows.c.map(sum)).sort_values(["doc_id", "size", "total"], kind="stable")
-    x = np.zeros((len(rows), len(places)), np.float32)
-    for i, (s, c) in enumerate(zip(rows.s, rows.c, strict=True)):
-        x[i, s] = np.log1p(c)
-    return FactorizationMachine(slot, *fit_matrix(x, rows.label.to_numpy(np.float32)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), F.col("text")))["text"].alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(_term_rows, f"doc_id {kind}, label int, places binary, counts binary").toArrow().sort_by("doc_id")
+    sizes = [len(p) // 4 for p in found["places"].to_pylist()]
+    places, counts = (np.frombuffer(b"".join(found[c].to_pylist()), "<i4").astype(np.int64) for c in ("places", "counts"))
+    rows = Rows(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64), places, np.log1p(counts).astype(np.float32))
+    return machine(len(found), rows, found["label"].to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` with ``_score`` and ``_toxic`` (score at or over the threshold).
 
-    Null and empty texts score what the bias says.
+    Null and empty texts score what the bias says; long texts are scored whole.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_toxic", T.BooleanType())])
@@ -236,8 +245,9 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 at a score of 0.7 or more).
 
-    Repeated rows are scored each; a null id is never held out; an empty table
-    gives an empty result.
+    Repeated rows are scored each, and equal texts alike; a null id is never held
+    out; columns besides doc_id and text are ignored, whatever their names; an
+    empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
     scored = score(rows, fit(rows, labels))
