@@ -1,28 +1,31 @@
 """Removal of repeated passages: longest-previous-factor arrays, distributed.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document of
-smaller id.  That is a statement on the suffix array of all texts: a place goes
-if its longest previous factor, with "previous" read by document id, reaches
-``LENGTH``.  In suffix order the candidates are the nearest suffixes of smaller
-id before and after; factors of ``LENGTH`` or more are runs of suffixes that
-agree in ``LENGTH`` bytes, and within a run sorted by id the previous smaller
-value of every suffix but those of the least id lies in the run.  So suffixes
-are sorted by their first ``LENGTH`` bytes, then id.
-
-The array is partitioned by anchors.  Of the ``GRAM``-byte strings in a window of
-``LENGTH`` bytes the one of least hash is its anchor, so equal windows have equal
-anchors at equal places, and windows with one anchor are neighbours that share
-one context of at most ``2 * LENGTH - GRAM`` bytes.
+smaller id: if the longest previous factor (LPF) of a suffix that begins there or
+up to ``LENGTH - 1`` bytes before, with "previous" read by document id, reaches
+``LENGTH``.  In suffix order the longest earlier match of a suffix is the one with
+the previous or the next smaller position (``longest_previous``); as only factors
+of ``LENGTH`` count, suffixes are ordered by their first ``LENGTH`` bytes.
+
+The suffix array is partitioned by anchors.  Of the ``GRAM``-byte strings in a
+window of ``LENGTH`` bytes the one of least hash is its anchor, so equal windows
+have equal anchors at equal places, and windows with one anchor are neighbours
+that share one context of at most ``2 * LENGTH - GRAM`` bytes.  Suffixes with
+different anchors need no common order, as they can't match.
 
 1. Documents are packed into compressed chunks and written once.
 2. Each chunk sends the hashes of its anchors (four bytes each, every one once) to
    hash buckets, which answer with a bit each: whether another chunk has it.
 3. Chunks settle repeats inside themselves and send the contexts of shared
    anchors, every distinct one once with its least id, to the buckets.  There
-   equal contexts are settled, and windows of the others are put in suffix order.
+   equal contexts are settled, and LPF arrays are built over the others.
 4. Buckets answer with a bit a window; chunks cut their texts.
 
 A passage that a million documents share thus travels at most once a chunk.
+Buckets are even ranges of the hash and are dealt in turn, like chunks, so tasks
+keep their size if partitions grow with the input.  Rows sent are never more than
+anchors (a sixteenth of the bytes), and far fewer as a row packs a chunk's share
+of a bucket.
 """
 
 from __future__ import annotations
@@ -112,17 +115,17 @@ class Chunk:
         self.first, self.count, self.doc, self.place, self.anchor, self._content = (np.concatenate(c) for c in zip(*parts, strict=True))
 
     def contexts(self) -> Chunk:
-        """Distinct contexts in order of anchor, then content; each with its least id."""
-        codes, found, where = distinct(self._content)
-        least = np.full(len(found), LAST, np.int64)
-        np.minimum.at(least, codes, self.ids[self.doc])
-        order = np.lexsort((found, self.anchor[where]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.context = rank[codes]
-        self.example = where[order]
-        self.least = least[order]
-        self.name = self.anchor[self.example]
+        """Distinct contexts in order of anchor, then content (128 bits of hashes); each with its least id."""
+        order = np.lexsort((self._content, self.anchor))
+        name, content = self.anchor[order], self._content[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (name[1:] != name[:-1]) | (content[1:] != content[:-1])
+        head = np.flatnonzero(fresh)
+        self.context = np.empty(len(order), np.int64)
+        self.context[order] = np.cumsum(fresh) - 1
+        self.example = order[head]
+        self.least = np.minimum.reduceat(self.ids[self.doc[order]], head) if len(head) else np.empty(0, np.int64)
+        self.name = name[head]
         # distinct anchors, ascending; several contexts of one anchor have to meet in any case
         start = np.ones(len(self.name), bool)
         start[1:] = self.name[1:] != self.name[:-1]
@@ -166,8 +169,15 @@ class Chunk:
         return np.diff(self.offsets), removed, np.diff(spans[self.offsets]), digests
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as compressed chunks: (chunk, docs, ids, sizes, bytes)."""
+def _packer_of(parts: int):
+    return lambda batches: _pack(batches, parts)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Documents as compressed chunks: (chunk, ids, sizes, bytes).
+
+    Chunks are numbered across the ``parts`` tasks, so that numbers modulo any width are even.
+    """
     part, made = TaskContext.get().partitionId(), 0
     texts: list[np.ndarray] = []
     ids: list[np.ndarray] = []
@@ -177,7 +187,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish() -> pa.RecordBatch:
         nonlocal made, held
         cols = [_zip(*ids), _zip(*sizes), _zip(*texts)]
-        chunk = (part << 32) | made
+        chunk = made * parts + part
         made, held = made + 1, 0
         for part_list in (texts, ids, sizes):
             part_list.clear()
@@ -321,27 +331,53 @@ def _send_contexts(buckets: int):
     return _by_chunk(work)
 
 
-def longest_previous(raw: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each window the least id that has its string, by the suffix order of the windows.
-
-    Windows are sorted by their ``LENGTH`` bytes, then id.  Neighbours of equal
-    bytes form a run; the run's first id is what previous smaller values lead to.
-    """
+def suffix_order(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``starts`` in the order of their first ``LENGTH`` bytes, and where in it a longest common prefix is shorter."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
     words = np.zeros(len(raw), np.uint64)
     for k in range(8):
         words |= padded[k : k + len(raw)] << np.uint64(56 - 8 * k)
-    steps = [*range(0, LENGTH - 8, 8), LENGTH - 8]
-    keys = [words[starts + s] for s in steps]
-    order = np.lexsort((ids, *reversed(keys)))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
+    keys = [words[starts + s] for s in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    order = np.lexsort(tuple(reversed(keys)))
+    short = np.zeros(len(order), bool)
+    short[:1] = True
     for key in keys:
         ranked = key[order]
-        new[1:] |= ranked[1:] != ranked[:-1]
-    run = np.cumsum(new) - 1
-    out = np.empty(len(order), np.int64)
-    out[order] = ids[order][np.flatnonzero(new)][run]
+        short[1:] |= ranked[1:] != ranked[:-1]
+    return order, short
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it that holds a smaller value, or -1.
+
+    All places point one back; pointers at values that are not smaller follow the
+    pointers found there, so the distance covered doubles.
+    """
+    at = np.arange(len(values)) - 1
+    while True:
+        wrong = np.flatnonzero((at >= 0) & (values[at] >= values))
+        if not len(wrong):
+            return at
+        at[wrong] = at[at[wrong]]
+
+
+def longest_previous(raw: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix: ``LENGTH`` (or more), or 0 if it is shorter.
+
+    In suffix order the longest earlier match of a suffix stands at the previous
+    or the next smaller position, where position is the document's id.  Its length
+    is the least common prefix on the way, of which only whether it reaches
+    ``LENGTH`` is kept: whether both stand in one run.
+    """
+    order, short = suffix_order(raw, starts)
+    run, place = np.cumsum(short), ids[order]
+    n = len(order)
+    before = previous_smaller(place)
+    after = n - 1 - previous_smaller(place[::-1])[::-1]
+    reach = (before >= 0) & (run[before] == run)
+    reach |= (after < n) & (run[np.minimum(after, n - 1)] == run)
+    out = np.empty(n, np.int64)
+    out[order] = np.where(reach, LENGTH, 0)
     return out
 
 
@@ -408,7 +444,7 @@ def _settle_contexts(bucket: int, chunks: list[int], data: list[bytes]) -> Itera
         # a window whose hash no other has is nobody's repeat and needs no place in the order
         codes, found, _ = distinct(span_hashes(part, begin, begin + LENGTH))
         twice = np.flatnonzero((np.bincount(codes, minlength=len(found)) > 1)[codes])
-        earlier = twice[longest_previous(part, begin[twice], own[twice]) < own[twice]] if len(twice) else twice
+        earlier = twice[longest_previous(part, begin[twice], own[twice]) >= LENGTH] if len(twice) else twice
         np.add.at(bits, ctx[owner[earlier]], np.int64(1) << offset[earlier])
     least = ids[head][group]
     answer = np.where(ids > least, (np.int64(1) << count) - 1, bits[group])
@@ -457,25 +493,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     Strings are judged on the input; matches never cross documents; rows of
-    equal id don't remove from each other.  A null text is empty; a null id
-    counts as greater than all others.
+    equal id don't remove from each other, and all rows stay.  A null text is
+    empty; a null id counts as greater than all others.  Texts of any length are
+    taken whole; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     width = shuffle_width(docs.sparkSession)
     buckets = 2 * width
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = stored(rows.mapInArrow(_pack, "chunk long, ids binary, sizes binary, raw binary"), "repeats")
+    packed = rows.mapInArrow(_packer_of(rows.rdd.getNumPartitions()), "chunk long, ids binary, sizes binary, raw binary")
+    packed = stored(packed, "repeats")
     message = "bucket int, chunk long, data binary"
 
     def at_buckets(sent: DataFrame, settle) -> DataFrame:
-        dealt = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "chunk")
+        dealt = sent.repartitionById(width, "bucket").sortWithinPartitions("bucket", "chunk")
         return dealt.mapInArrow(_by_bucket(settle), message)
 
     def at_chunks(answers: DataFrame, work, schema: str) -> DataFrame:
         texts = packed.select(F.lit(None).cast("int").alias("bucket"), "chunk", F.lit(None).cast("binary").alias("data"), "ids", "sizes", "raw")
         empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "sizes", "raw")]
         both = texts.unionByName(answers.select("bucket", "chunk", "data", *empty))
-        dealt = both.repartition(width, "chunk").sortWithinPartitions("chunk", F.col("bucket").asc_nulls_last())
+        dealt = both.repartitionById(width, F.expr(f"cast(pmod(chunk, {width}) as int)")).sortWithinPartitions("chunk", F.col("bucket").asc_nulls_last())
         return dealt.mapInArrow(work, schema)
 
     shared = at_buckets(packed.mapInArrow(_send_anchors(buckets), message), _shared_anchors)

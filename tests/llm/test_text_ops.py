@@ -253,6 +253,24 @@ def test_repeats_against_brute_force(docs, plain, empty, spark):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_longest_previous_factors():
+    """Smaller positions on both sides in suffix order, against all pairs."""
+    rng = np.random.default_rng(12)
+    for seed in range(6):
+        v = rng.integers(0, 6, 300)
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(300)]
+        assert repeats.previous_smaller(v).tolist() == want
+        raw = rng.integers(97, 99, 60).astype(np.uint8)
+        raw = np.concatenate([raw, raw[:55], rng.integers(97, 99, 70).astype(np.uint8), raw[3:60], raw])
+        starts = np.arange(len(raw) - repeats.LENGTH + 1)
+        ids = np.sort(rng.integers(0, 5, len(starts)))[rng.permutation(len(starts))] if seed % 2 else starts // 40
+        text = raw.tobytes()
+        got = repeats.longest_previous(raw, starts, ids)
+        for i in starts.tolist():
+            earlier = any(ids[j] < ids[i] and text[j : j + 50] == text[i : i + 50] for j in starts.tolist())
+            assert got[i] == (repeats.LENGTH if earlier else 0)
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
@@ -388,27 +406,69 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(df, labels.where("false")).count() == 600
 
 
-def test_pair_weights_are_learned():
-    x = np.asarray([[0, 0], [1, 0], [0, 1], [1, 1]] * 60, np.float32)
-    y = (x.sum(1) != 1).astype(np.float32)  # no linear model can tell these apart
-    b, w, v = toxicity.fit_matrix(x, y, pos_weight=1.0)
-    raw = b + x @ w + 0.5 * ((x @ v) ** 2 - (x * x) @ (v**2)).sum(1)
-    assert ((raw > 0) == (y > 0)).all()
-
-
-def plan_targets(sizes, weights=(5, 2, 1)):
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
-    w = {s: weights[k % 3] for k, s in enumerate(names)}
-    total, capped = float(sum(sizes.values())), {}
-    while True:
-        free = [s for s in names if s not in capped]
-        if not free:
-            return capped
-        left, weight = total - sum(capped.values()), sum(w[s] for s in free)
-        over = [s for s in free if left * w[s] / weight > 3 * sizes[s]]
-        if not over:
-            return capped | {s: left * w[s] / weight for s in free}
-        capped |= {s: 3.0 * sizes[s] for s in over}
+def test_score_against_all_pairs():
+    """Scores by an explicit sum over pairs of terms, and terms by a plain tokenizer."""
+    import regex
+
+    from tessella.llm.pretoken import code_points, span_hashes
+
+    rng = np.random.default_rng(3)
+    slot = np.full(1 << toxicity.HASH_BITS, -1, np.int32)
+    some = rng.permutation(len(slot))[: len(slot) // 3]
+    slot[some] = np.arange(len(some))
+    model = toxicity.FactorizationMachine(slot, -0.3, rng.normal(0, 0.05, len(some)), rng.normal(0, 0.05, (len(some), toxicity.FACTORS)))
+    texts = [t or "" for t in TEXTS if len(t or "") < 2500] + ["Ab_ab ab1ab", "wörterbücher WÖRTERBÜCHER", "a'b"]
+
+    def place(term, k=0):
+        points, edges = code_points([term])
+        h = span_hashes(points, edges[:-1], edges[1:]) + np.uint64(k)
+        return int(h[0] >> np.uint64(64 - toxicity.HASH_BITS))
+
+    for text, got in zip(texts, model.score(texts).tolist(), strict=True):
+        counts = collections.Counter()
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            counts[place(word)] += 1
+            counts.update(place(word[:k], k) for k in toxicity.PREFIXES if len(word) > k)
+        x = {slot[p]: np.log1p(c) for p, c in counts.items() if slot[p] >= 0}
+        raw = model.bias + sum(model.weights[i] * v for i, v in x.items())
+        ids = sorted(x)
+        for n, i in enumerate(ids):
+            if len(ids) > n + 1:
+                raw += x[i] * sum(x[j] * float(model.factors[i] @ model.factors[j]) for j in ids[n + 1 :])
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(raw, -30, 30))), abs=1e-9)
+
+
+def test_pairs_of_neutral_words_are_learned(spark):
+    """Each word of the pair says nothing alone: as many of its rows are toxic as of all."""
+    rng = np.random.default_rng(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, marks = [], []
+    for i in range(1500):
+        words = [WORDS[a] + letters[b] for a, b in zip(rng.integers(0, len(WORDS), 40), rng.integers(0, 26, 40), strict=True)]
+        k = int(rng.integers(0, 8))
+        for w in {0: ("grommet", "wexford"), 1: ("vileling",)}.get(k, ("grommet",) if k < 5 else ("wexford",)):
+            words.insert(int(rng.integers(0, len(words))), w)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(k < 2)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r.held_out]
+    truth, said = np.asarray([marks[r.doc_id][1] for r in got]), np.asarray([r.predicted for r in got])
+    pair = np.asarray(["grommet" in rows[r.doc_id][1] and "wexford" in rows[r.doc_id][1] for r in got])
+    alone = {w: np.mean([marks[i][1] for i, t in rows if w in t]) for w in ("grommet", "wexford")}
+    assert all(abs(v - np.mean([m for _, m in marks])) < 0.06 for v in alone.values())
+    assert said[pair].mean() > 0.95 and said[truth == 0].mean() < 0.01
+
+
+def test_toxicity_odd_rows(spark):
+    df, labels = labelled(spark, 300)
+    rows = [(r.doc_id, r.text, "x", 0.5, True) for r in df.collect()]
+    rows += [(7, "twice", "x", 0.5, True)] * 400 + [(None, None, None, None, None)] * 3
+    wide = spark.createDataFrame(rows, "doc_id long, text string, label string, _score double, _toxic boolean")
+    marks = labels.unionByName(spark.createDataFrame([(None, 1), (9, None), (9, 1), (9, 0)], "doc_id long, toxic int"))
+    got = toxicity.toxicity(wide, marks).collect()
+    assert len(got) == len(rows)
+    assert len({r.score for r in got if r.doc_id is None}) == 1
+    assert len(toxicity.toxicity(wide.limit(0), marks).columns) == 4
 
 
 def same_rows(docs):
