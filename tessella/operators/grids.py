@@ -35,11 +35,43 @@ def points(spark: SparkSession, dims: tuple[int, ...]) -> DataFrame:
     return rows.select(*cols)
 
 
+#: Writes from the driver after which a grid's lineage is cut.
+WRITES = 8
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder.
+
+    In local mode one is set where there is none; a cluster session has to name it.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get() if held.isDefined() else None
+    if path is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file:///tmp/checkpoints/tessella"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def checkpointed(grid: Grid) -> None:
+    """Cut the lineage of a grid through the shared folder.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` has Spark remove the files with the frame.
+    """
+    shared_folder(grid.session.spark)
+    grid.frame = grid.frame.checkpoint(eager=True)
+
+
 class Grid:
     """A dense grid. Its frame holds exactly one row a cell; maps and writes replace the frame."""
 
     def __init__(self, session: GridSession, type_: GridType, dims: tuple[int, ...], frame: DataFrame):
         self.session, self.type, self.dims, self.frame = session, type_, tuple(dims), frame
+        self._writes = 0
 
     @property
     def axes(self) -> tuple[str, ...]:
@@ -95,7 +127,10 @@ class Grid:
         self.set_many([(tuple(index), value)])
 
     def set_many(self, writes: Iterable[tuple[tuple[int, ...], object]]) -> None:
-        """Write some cells in one pass, by a broadcast join; the last of equal places holds."""
+        """Write some cells in one pass, by a broadcast join; the last of equal places holds.
+
+        Lineage is cut every ``WRITES`` calls.
+        """
         last = {}
         for index, value in writes:
             self._inside(index)
@@ -112,6 +147,21 @@ class Grid:
         out = self.frame.join(news, list(self.axes), "left")
         self.frame = out.select(*self.axes, *(F.when(F.col("_new"), F.col(f"_n_{n}")).otherwise(F.col(n)).alias(n) for n in self.type.members))
 
+        self._writes += 1
+        if self._writes % WRITES == 0:
+            checkpointed(self)
+
+    def save(self, name: str) -> None:
+        """Keep the cells under a name in the shared folder (see ``GridSession.restore``); a later save replaces it."""
+        self.write_parquet(f"{shared_folder(self.session.spark)}/grids/{name}")
+
+    def partitioned(self, parts: tuple[int, ...]) -> DataFrame:
+        """The cells with the number of their block, a partition a block (see ``block_of``)."""
+        block, step = F.lit(0), 1
+        for axis, n, p in zip(self.axes, self.dims, parts, strict=True):
+            block, step = block + block_of(axis, n, p) * F.lit(step), step * p
+        return self.to_df().withColumn("block", block.cast("int")).repartitionById(step, "block")
+
     def free(self) -> None:
         self.frame.unpersist()
         self.session.grids.discard(self)
@@ -134,6 +184,17 @@ class Grid:
             raise IndexError(f"{tuple(index)} is not a cell of {self.dims}")
 
 
+def block_of(axis: str, n: int, parts: int):
+    """Which of ``parts`` blocks of an axis of ``n`` cells a coordinate lies in; what remains of ``n / parts`` widens the last ones."""
+    if not 0 < parts <= n:
+        raise ValueError(f"{n} cells can't be cut in {parts} blocks")
+    base, more = divmod(n, parts)
+    plain = parts - more  # blocks of the least width
+    edge = plain * base
+    at = F.col(axis)
+    return F.when(at < edge, F.floor(at / base)).otherwise(plain + F.floor((at - edge) / (base + 1))).cast("int")
+
+
 def _plain(v):
     return [_plain(x) for x in v] if isinstance(v, (list, np.ndarray)) else v
 
@@ -218,12 +279,27 @@ class GridSession:
     def read_parquet(self, path: str, dims: tuple[int, ...], cell="float") -> Grid:
         return self.from_df(self.spark.read.schema(GridType.of(len(dims), cell).schema()).parquet(path), dims, cell)
 
+    def restore(self, name: str, dims: tuple[int, ...], cell="float") -> Grid:
+        """The grid that was saved under a name."""
+        return self.read_parquet(f"{shared_folder(self.spark)}/grids/{name}", dims, cell)
+
+    def forget(self, name: str) -> None:
+        """Remove a saved grid."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(self.spark)}/grids/{name}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def finish(self) -> None:
         """Release all grids."""
         for grid in list(self.grids):
             grid.free()
 
-    def info(self) -> str:
-        return "\n".join(f"{g.dims} {dict(g.type.members)}" for g in sorted(self.grids, key=lambda g: g.dims))
+    def info(self, plans: bool = False) -> str:
+        """Extents and members of every grid; with the plan that makes its cells, if asked."""
+        out = []
+        for g in sorted(self.grids, key=lambda g: (g.dims, str(g.type))):
+            out.append(f"{g.dims} {dict(g.type.members)}")
+            if plans:
+                out.append(g.frame._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return "\n".join(out)
 
 

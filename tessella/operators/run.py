@@ -6,9 +6,9 @@ import time
 from dataclasses import dataclass, field
 
 from ..plans.trace import BLACK, RED, StencilMap
-from .grids import Grid
+from .grids import Grid, checkpointed
 from .stencil import apply_map
-from .tiles import batches, run_tiles, tileable
+from .tiles import batches, run_tiles, steps_on_tiles, tileable
 
 CHECKPOINT_EVERY = 4
 
@@ -22,21 +22,14 @@ class RunResult:
     traced: list[tuple[str, float]] = field(default_factory=list)
 
 
-def checkpointed(grid: Grid) -> None:
-    """Cut the lineage of a grid through the folder that all executors share."""
-    spark = grid.session.spark
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/tessella")
-    grid.frame = grid.frame.checkpoint(eager=True)
-
-
 def run(
     *maps: StencilMap, iters: int = 1, strategy: str | None = None, steps_per_shuffle: int = 4, tile: tuple[int, ...] | None = None,
     checkpoint_every: int = CHECKPOINT_EVERY, traced: bool = False,
 ) -> RunResult:
     """Run the maps in order, ``iters`` times; each map sees what the ones before it wrote.
 
-    ``strategy``: None lets the planner choose cell by cell; ``scatter`` forces the
+    ``strategy``: None lets the planner choose (tiles for chains of straight reads,
+    else map by map); ``map`` has it choose map by map; ``scatter`` forces the
     one-shuffle gather; ``tile`` runs ``steps_per_shuffle`` steps on halo tiles.
     Lineage is cut every ``checkpoint_every`` steps of longer runs. ``traced``
     evaluates and times each step.
@@ -47,6 +40,10 @@ def run(
     steps *= iters
     out = RunResult(steps=len(steps))
     began = time.perf_counter()
+    if strategy is None and not traced and (size := steps_on_tiles(steps)):
+        strategy, steps_per_shuffle = "tile", min(size, steps_per_shuffle)
+    if strategy == "map":
+        strategy = None
     if strategy == "tile":
         if not tileable(steps):
             raise ValueError("tiles need straight reads, scalar members and grids of equal extents")

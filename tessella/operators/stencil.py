@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import AXES, PRIMITIVES
-from ..plans.expr import Coord, Get, column, gets, to_kind, truth
+from ..plans.expr import Coord, Get, c_arithmetic, column, gets, to_kind, truth
 from ..plans.planner import broadcastable, choose, invertible
 from ..plans.trace import StencilMap, Traced
 from .grids import Grid, nested
@@ -197,6 +197,11 @@ def gather(m: StencilMap, targets: dict[str, Grid], color: int | None, strategy:
 
 def apply_map(m: StencilMap, color: int | None = None, strategy: str | None = None) -> list[Grid]:
     """Run one map: all reads see the cells as they were before it; returns the grids written."""
+    with c_arithmetic(next(m.args[e.arg] for e in m.traced.emits).session.spark):
+        return _applied(m, color, strategy)
+
+
+def _applied(m: StencilMap, color: int | None, strategy: str | None) -> list[Grid]:
     todo = {n: m.args[n] for n in dict.fromkeys(e.arg for e in m.traced.emits)}
     done: list[tuple[Grid, DataFrame]] = []
     while todo:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import AXES, NUMPY
-from ..plans.expr import Get, array
+from ..plans.expr import Get, array, converted
+from ..plans.planner import own_place
 from ..plans.trace import StencilMap
 from .grids import Grid
 
@@ -40,6 +41,28 @@ def halo(steps: list[Step], rank: int) -> list[int]:
     return out
 
 
+#: Tile edges by rank, and the widest halo that the planner takes on them.
+EDGE = {1: 1 << 16, 2: 256, 3: 40}
+WIDEST = {1: 1 << 12, 2: 32, 3: 8}
+
+
+def steps_on_tiles(steps: list[Step]) -> int:
+    """How many steps of a chain the planner runs on tiles in one shuffle; 0 where map by map is better.
+
+    A chain of two maps or more that move cells: one shuffle of a cell's few
+    copies then takes the place of a shuffle a map of a row for every read.
+    """
+    moving = [any(not own_place(g) for g in m.traced.reads.values()) for m, _ in steps]
+    if sum(moving) < 2 or not tileable(steps):
+        return 0
+    dims = next(a.dims for m, _ in steps for a in m.args.values() if isinstance(a, Grid))
+    room = [min(n, WIDEST[len(dims)]) for n in dims]
+    for size in range(len(steps), 1, -1):
+        if all(h <= r for part in batches(steps, size) for h, r in zip(halo(part, len(dims)), room, strict=True)):
+            return size
+    return 0
+
+
 def _dealt(frame: DataFrame, dims: tuple[int, ...], tile: tuple[int, ...], width: list[int], wraps: bool) -> DataFrame:
     """Copies of every cell for the tiles that hold it: tile number and unwrapped coordinate an axis."""
     for axis, n, t, h in zip(AXES, dims, tile, width, strict=False):
@@ -66,7 +89,7 @@ def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Gr
     order = list(grids.values())
     dims = order[0].dims
     rank, axes = len(dims), AXES[: len(dims)]
-    tile = tile or tuple(max(1, min(n, {1: 1 << 16, 2: 256, 3: 40}[rank])) for n in dims)
+    tile = tile or tuple(max(1, min(n, EDGE[rank])) for n in dims)
     width = halo(steps, rank)
     if any(h > n for h, n in zip(width, dims, strict=True)):
         raise ValueError("the halo is wider than the grid: run fewer steps a shuffle")
@@ -86,7 +109,10 @@ def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Gr
         for m, color in steps
     ]
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    own = dict(kinds)
+
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        key = [k.as_py() for k in key]
         low = [k * t - h for k, t, h in zip(key, tile, width, strict=True)]
         high = [min((k + 1) * t, n) + h for k, t, n, h in zip(key, tile, dims, width, strict=True)]
         shape = tuple(b - a for a, b in zip(low, high, strict=True))
@@ -119,15 +145,15 @@ def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Gr
                     mask = here if condition is None else here & np.asarray(array(condition, read, coords)).astype(bool)
                     new.append((name, mask, np.broadcast_to(np.asarray(array(value, read, coords)), shape)))
                 for name, mask, value in new:
-                    held[name] = np.where(mask, value.astype(held[name].dtype), held[name])
+                    held[name] = np.where(mask, converted(value, own[name]), held[name])
         core = tuple(slice(h, s - h) for h, s in zip(width, shape, strict=True))
         spots = np.indices(tuple(c.stop - c.start for c in core)).reshape(rank, -1)
         data = {a: (spots[k] + key[k] * tile[k]).astype("int32") for k, a in enumerate(axes)}
-        return pd.DataFrame(data | {n: held[n][core].reshape(-1) for n in out_names})
+        return pa.table(data | {n: np.ascontiguousarray(held[n][core]).reshape(-1) for n in out_names})
 
     names = {"int": "int", "long": "bigint", "float": "float", "double": "double"}
     schema = ", ".join([f"{a} int" for a in axes] + [f"{n} {names[kinds[n]]}" for n in out_names])
-    done = _dealt(frame, dims, tile, width, wraps).groupBy(*(f"k{a}" for a in axes)).applyInPandas(work, schema)
+    done = _dealt(frame, dims, tile, width, wraps).groupBy(*(f"k{a}" for a in axes)).applyInArrow(work, schema)
     for g in written:
         i = place[id(g)]
         g.frame = done.select(*axes, *(F.col(f"g{i}_{m}").alias(m) for m in g.type.members))

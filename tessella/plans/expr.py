@@ -1,12 +1,20 @@
-"""Scalar expressions of kernels: a tree with C's types, lowered to Columns or to numpy."""
+"""Scalar expressions of kernels: a tree with C's types, lowered to Columns or to numpy.
+
+Both lowerings give the same values, also where C leaves them open: integers wrap
+at their width, an integer divided by zero (and its remainder) is 0, a float
+becomes an integer towards zero, saturated at 64 bits and then wrapped, with NaN
+as 0.  Floats follow IEEE 754: log(0) is -inf, NaN equals nothing.  Columns are
+built under ``c_arithmetic``, as Spark's own default raises on overflow.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import NUMPY, PRIMITIVES
@@ -209,6 +217,22 @@ def gets(e: Expr, guarded: bool = False) -> Iterator[tuple[Get, bool]]:
         yield from gets(child, guarded or isinstance(e, When) and k > 0)
 
 
+@contextmanager
+def c_arithmetic(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside have integer arithmetic that wraps; the session's own setting is put back.
+
+    Spark fixes an expression's overflow rule when the frame is analysed, which
+    is when it is made.
+    """
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def wrapped(value: Column, bits: int = 32) -> Column:
     """A bigint as a two's complement integer of 32 bits."""
     half = 1 << (bits - 1)
@@ -221,7 +245,8 @@ def to_kind(value: Column, have: str, want: str) -> Column:
         return value
     if want in ("int", "long"):
         if have in ("float", "double"):
-            return value.cast("bigint")
+            whole = F.when(F.isnan(value), F.lit(0).cast("bigint")).otherwise(value.cast("bigint"))
+            return wrapped(whole) if want == "int" else whole
         if have == "bool":
             return value.cast("int").cast("bigint")
         return wrapped(value) if want == "int" else value
@@ -248,7 +273,7 @@ def column(e: Expr, read: Callable[[Get], Column], axes: tuple[str, ...]) -> Col
         return F.when(truth(e.condition, go), a).otherwise(b)
     if isinstance(e, Call):
         args = [go(a) for a in e.args]
-        return {"exp": F.exp, "log": F.log, "sqrt": F.sqrt, "cos": F.cos, "sin": F.sin, "acos": F.acos, "abs": F.abs, "pow": F.pow}[e.name](*args)
+        return {"exp": F.exp, "log": _log, "sqrt": F.sqrt, "cos": F.cos, "sin": F.sin, "acos": F.acos, "abs": F.abs, "pow": F.pow}[e.name](*args)
     if e.op in ("and", "or"):
         a, b = truth(e.a, go), truth(e.b, go)
         return a & b if e.op == "and" else a | b
@@ -261,16 +286,30 @@ def column(e: Expr, read: Callable[[Get], Column], axes: tuple[str, ...]) -> Col
     elif e.op == "*":
         out = a * b
     elif e.op == "%":
-        out = a % b
+        out = F.when(b == 0, F.lit(0).cast("bigint")).otherwise(a % b) if both in ("int", "long") else a % b
     elif e.op == "/" and both in ("int", "long"):
-        out = _div(a, b)
+        out = F.when(b == 0, F.lit(0).cast("bigint")).otherwise(_div(a, b))
     elif e.op == "/":
         out = _float_divide(a, b, both)
     else:
-        return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[e.op]
+        return _compared(e.op, a, b, both in ("float", "double"))
     return wrapped(out) if both == "int" and e.op in "+-*" else out
 
 
+def _log(a: Column) -> Column:
+    # Spark has NULL at and below 0; its NaN is greater than all numbers
+    return F.when(a > 0, F.log(a)).when(a == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+
+
+def _compared(op: str, a: Column, b: Column, floats: bool) -> Column:
+    out = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[op]
+    if not floats:
+        return out
+    if op == "!=":  # Spark's NaN equals itself and is greater than all numbers
+        return out | F.isnan(a)
+    return out & ~F.isnan(b if op in ("<", "<=") else a)
+
+
 def _div(a: Column, b: Column) -> Column:
     # towards zero: what the remainder leaves is a multiple, so the quotient is exact
     return F.call_function("div", a, b)
@@ -286,10 +325,19 @@ def truth(e: Expr, go: Callable[[Expr], Column]) -> Column:
     return go(e) if e.kind == "bool" else go(e) != F.lit(0)
 
 
+def converted(value: np.ndarray, kind: str) -> np.ndarray:
+    """``to_kind`` of arrays."""
+    if kind in ("int", "long") and value.dtype.kind == "f":
+        big, small = value >= 2.0**63, value < -(2.0**63)
+        whole = np.where(np.isnan(value) | big | small, 0, value).astype("int64")
+        value = np.where(big, np.int64(2**63 - 1), np.where(small, np.int64(-(2**63)), whole))
+    return value.astype(NUMPY[kind])
+
+
 def array(e: Expr, read: Callable[[Get], np.ndarray], axes: list[np.ndarray]):
     """Lower to numpy over whole arrays: both branches of a condition are evaluated."""
     go = lambda x: array(x, read, axes)
-    as_ = lambda x, kind: np.asarray(go(x)).astype(NUMPY[kind])
+    as_ = lambda x, kind: converted(np.asarray(go(x)), kind)
     if isinstance(e, Const):
         return np.asarray(e.value, NUMPY[e.kind])
     if isinstance(e, Coord):
@@ -309,8 +357,10 @@ def array(e: Expr, read: Callable[[Get], np.ndarray], axes: list[np.ndarray]):
     both = promoted(e.a.kind, e.b.kind)
     a, b = as_(e.a, both), as_(e.b, both)
     if e.op == "/" and both in ("int", "long"):
-        whole = np.abs(a.astype("int64")) // np.maximum(np.abs(b.astype("int64")), 1)
-        return (whole * np.sign(a) * np.sign(b)).astype(NUMPY[both])
+        some = np.where(b == 0, 1, b)
+        whole = a // some
+        whole += (whole < 0) & (whole * some != a)  # floored below zero: one up
+        return np.where(b == 0, 0, whole).astype(NUMPY[both])
     if e.op == "%" and both in ("int", "long"):
         return np.fmod(a, np.where(b == 0, 1, b))
     done = {"+": np.add, "-": np.subtract, "*": np.multiply, "/": np.divide, "%": np.fmod, "<": np.less, "<=": np.less_equal,
