@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import kernel as k
 from .model import Domain
-from .operators.grids import GridSession
+from .operators.grids import GridSession, checkpointed
 from .operators.reduce import map_reduce_df, reduce_grid_df
 from .operators.run import run
 from .plans.trace import smap, smap_black, smap_red, smap_redblack
@@ -162,6 +163,71 @@ def _set(gs, d):
     return g.to_df()
 
 
+@query("grid_free", "SELECT CAST(2 AS INTEGER) AS before, CAST(1 AS INTEGER) AS after, CAST(0 AS INTEGER) AS finished")
+def _free(gs, d):
+    a, _ = gs.zeros((3, 3)), gs.iota((4,))
+    counts = [len(gs.grids)]
+    a.free()
+    counts.append(len(gs.grids))
+    gs.finish()
+    counts.append(len(gs.grids))
+    return gs.spark.range(1).select(*(F.lit(n).cast("int").alias(c) for n, c in zip(counts, ("before", "after", "finished"), strict=True)))
+
+
+@query("grid_info", "SELECT CAST(2 AS BIGINT) AS lines, true AS has_extents, true AS has_plan")
+def _info(gs, d):
+    gs.zeros((3, 5), "int"), gs.iota((7,))
+    said, plans = gs.info(), gs.info(plans=True)
+    return gs.spark.range(1).select(
+        F.lit(len(said.splitlines())).cast("bigint").alias("lines"), F.lit("(3, 5)" in said and "(7,)" in said).alias("has_extents"), F.lit("Range" in plans).alias("has_plan")
+    )
+
+
+@query("save_restore", T.sql("event_hd"))
+def _save(gs, d):
+    name = f"query-{uuid.uuid4().hex}"
+    T.event_hd(gs, d).save(name)
+    out = checkpointed_copy(gs.restore(name, HD, "long"))
+    gs.forget(name)
+    return out
+
+
+def checkpointed_copy(grid) -> DataFrame:
+    checkpointed(grid)
+    return grid.to_df()
+
+
+def _block_sql(axis: str, n: int, parts: int) -> str:
+    base, more = divmod(n, parts)
+    edge = (parts - more) * base
+    return f"CASE WHEN {axis} < {edge} THEN {axis} // {base} ELSE {parts - more} + ({axis} - {edge}) // {base + 1} END"
+
+
+@query(
+    "block_partition",
+    f"WITH g AS ({T.sql('event_hd')}) SELECT CAST({_block_sql('x', 24, 5)} + 5 * ({_block_sql('y', 30, 4)}) AS INTEGER) AS block, "
+    "CAST(1 AS BIGINT) AS partitions, count(*) AS cells, CAST(sum(v) AS BIGINT) AS total FROM g GROUP BY 1",
+)
+def _blocks(gs, d):
+    rows = T.event_hd(gs, d).partitioned((5, 4)).withColumn("at", F.spark_partition_id())
+    return rows.groupBy("block").agg(F.countDistinct("at").alias("partitions"), F.count("*").alias("cells"), F.sum("v").cast("bigint").alias("total"))
+
+
+@query("traced_run", "SELECT CAST(4 AS BIGINT) AS steps, CAST(4 AS BIGINT) AS timed, true AS all_took_time, 'rise' AS kernel")
+def _traced(gs, d):
+    g = gs.iota((6, 5), "int")
+
+    def rise(x, y, g):
+        g.emit(g[x, y] + 1)
+
+    told = run(smap(rise, whole((6, 5)), g), iters=4, traced=True)
+    timed = all(s > 0 for _, s in told.traced) and told.seconds >= sum(s for _, s in told.traced)
+    return gs.spark.range(1).select(
+        F.lit(told.steps).cast("bigint").alias("steps"), F.lit(len(told.traced)).cast("bigint").alias("timed"), F.lit(timed).alias("all_took_time"),
+        F.lit(told.traced[0][0]).alias("kernel"),
+    )
+
+
 # Domains, maps -----------------------------------------------------------------------------------
 
 
@@ -319,26 +385,87 @@ def _scalars(gs, d):
     return g.to_df()
 
 
-_ROUND = "CAST(floor(({e}) * 1000000 + 0.5) AS BIGINT)"
+def _told(value: str, digits: int) -> str:
+    """SQL of a number as (state, its value in units of 10**-digits): not finite ones have a state of their own and 0."""
+    return (
+        f"CASE WHEN isnan({value}) THEN 'nan' WHEN isinf({value}) THEN CASE WHEN {value} > 0 THEN 'inf' ELSE '-inf' END ELSE 'number' END AS state, "
+        f"CASE WHEN isfinite({value}) THEN CAST(floor({value} * {10**digits} + 0.5) AS BIGINT) ELSE 0 END AS v"
+    )
+
+
+def _tell(df: DataFrame, digits: int) -> DataFrame:
+    """The same of a grid's cells."""
+    v = F.col("v").cast("double")
+    infinite = F.abs(v) == float("inf")
+    state = F.when(F.isnan(v), "nan").when(infinite & (v > 0), "inf").when(infinite, "-inf").otherwise("number")
+    number = F.when(F.isnan(v) | infinite, F.lit(0).cast("bigint")).otherwise(F.floor(v * 10**digits + 0.5).cast("bigint"))
+    return df.select("x", "y", state.alias("state"), number.alias("v"))
+
+
+#: Each function: kernel, SQL (DuckDB raises outside the range of some). Cells are -2, -1, 0, 1 ...: counts less two.
+_OUT = "CAST('NaN' AS DOUBLE)"
+FUNCTIONS = {
+    "exp": (lambda f, v: f(v / 10.0), "exp(v / 10.0)"),
+    "log": (lambda f, v: f(v), f"CASE WHEN v > 0 THEN ln(v) WHEN v = 0 THEN -CAST('Infinity' AS DOUBLE) ELSE {_OUT} END"),
+    "sqrt": (lambda f, v: f(v), f"CASE WHEN v >= 0 THEN sqrt(v) ELSE {_OUT} END"),
+    "cos": (lambda f, v: f(v), "cos(v)"),
+    "sin": (lambda f, v: f(v), "sin(v)"),
+    "acos": (lambda f, v: f(v / 2.0), f"CASE WHEN abs(v) <= 2 THEN acos(v / 2.0) ELSE {_OUT} END"),
+    "fabs": (lambda f, v: f(v), "abs(v)"),
+    "pow": (lambda f, v: f(v, 1.5), f"CASE WHEN v >= 0 THEN power(v, 1.5) ELSE {_OUT} END"),
+}
+
+
+def _function(name: str, single: bool) -> None:
+    body, sql = FUNCTIONS[name]
+    call = getattr(k, name + "f" * single)
+    digits = 2 if single else 6
+    value = f"CAST(CAST({sql} AS FLOAT) AS DOUBLE)" if single else f"({sql})"
+
+    @query(f"math_{name}{'f' * single}", f"WITH g AS (SELECT x, y, v - 2 AS v FROM ({T.sql('event_hd', 'DOUBLE')})), m AS (SELECT x, y, {value} AS w FROM g) SELECT x, y, {_told('w', digits)} FROM m")
+    def f(gs, d):
+        g, out = T.event_hd(gs, d, "double"), gs.zeros(HD, "float" if single else "double")
+        run(smap(lambda x, y, g, out: out.emit(body(call, g[x, y] - 2.0)), whole(HD), g, out))
+        return _tell(out.to_df(), digits)
+
+
+for _name in FUNCTIONS:
+    _function(_name, False)
+    _function(_name, True)
 
 
 @query(
-    "math_builtins",
-    f"WITH g AS ({T.sql('event_hd')}) SELECT x, y, "
-    + _ROUND.format(e="exp(-v / 10.0) + ln(v + 1.0) + sqrt(v + 2.0) + cos(v) + sin(v) + acos(1.0 / (v + 1.0)) + power(v + 1.0, 1.5) + abs(-v)")
-    + " AS v FROM g",
+    "nan_on_tiles",
+    f"WITH g AS (SELECT x, y, CASE WHEN v > 2 THEN sqrt(v - 2) ELSE {_OUT} END AS v FROM ({T.sql('event_hd', 'DOUBLE')})) "
+    "SELECT t.x, t.y, " + _told("(CASE WHEN t.x < 23 THEN t.v + a.v ELSE t.v END)", 6) + " FROM g t LEFT JOIN g a ON a.x = t.x + 1 AND a.y = t.y",
 )
-def _math(gs, d):
-    g, out = T.event_hd(gs, d, "double"), gs.zeros(HD, "double")
+def _nan(gs, d):
+    g, h, out = T.event_hd(gs, d, "double"), gs.zeros(HD, "double"), gs.zeros(HD, "double")
+    nan = float("nan")
+    run(
+        smap(lambda x, y, g, h: h.emit(when(g[x, y] > 2.0, k.sqrt(g[x, y] - 2.0), nan)), whole(HD), g, h),
+        smap(lambda x, y, h, out: out.emit(when(x < 23, h[x, y] + h[x + 1, y], h[x, y])), whole(HD), h, out),
+        strategy="tile", tile=(7, 11),
+    )
+    return _tell(out.to_df(), 6)
 
-    def kernel(x, y, g, out):
-        v = g[x, y]
-        out.emit(
-            k.exp(-v / 10.0) + k.log(v + 1.0) + k.sqrt(v + 2.0) + k.cos(v) + k.sin(v) + k.acos(1.0 / (v + 1.0)) + k.pow(v + 1.0, 1.5) + k.fabs(-v)
-        )
 
-    run(smap(kernel, whole(HD), g, out))
-    return out.to_df().select("x", "y", F.floor(F.col("v") * 1000000 + 0.5).cast("bigint").alias("v"))
+@query(
+    "long_wraps",
+    f"WITH g AS ({T.sql('event_cents')}), m AS (SELECT x, y, CAST(v AS HUGEINT) * 4611686018427387904 + 9223372036854775807 AS w FROM g) "
+    "SELECT x, y, CAST((w % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS v FROM m",
+)
+def _wraps(gs, d):
+    g = T.event_cents(gs, d)
+    run(smap(lambda x, y, g: g.emit(g[x, y] * 2**62 + (2**63 - 1)), whole(HD), g))
+    return g.to_df()
+
+
+@query("zero_division", f"WITH g AS ({T.sql('event_cents')}) SELECT x, y, CASE WHEN v % 3 = 0 THEN 7 ELSE v // (v % 3) + v % (v % 3) + 7 END AS v FROM g")
+def _by_zero(gs, d):
+    g = T.event_cents(gs, d)
+    run(smap(lambda x, y, g: g.emit(g[x, y] / (g[x, y] % 3) + g[x, y] % (g[x, y] % 3) + 7), whole(HD), g))
+    return g.to_df()
 
 
 @query(
@@ -530,18 +657,26 @@ def _reduce(name: str, op: str, grid: str, make, kind: str, sql: str) -> None:
         return reduce_grid_df(make(gs, d), op)
 
 
-for _kind, _sql, _back in (("long", "BIGINT", "BIGINT"), ("int", "INTEGER", "BIGINT"), ("double", "DOUBLE", "DOUBLE")):
+for _kind, _sql, _back in (("long", "BIGINT", "BIGINT"), ("int", "INTEGER", "BIGINT"), ("double", "DOUBLE", "DOUBLE"), ("float", "FLOAT", "DOUBLE")):
     _make = lambda gs, d, _k=_kind: T.event_hd(gs, d, _k)
     _reduce(f"reduce_max_{_kind}", "max", "event_hd", _make, _sql, "max(v)")
     _reduce(f"reduce_min_{_kind}", "min", "event_hd", _make, _sql, "min(v)")
     _reduce(f"reduce_sum_{_kind}", "sum", "event_hd", _make, _sql, f"CAST(sum(v) AS {_back})")
 
 
-@query("reduce_prod_double", f"SELECT CAST({2.0**30} AS DOUBLE) AS value FROM ({T.sql('event_hd')}) LIMIT 1")
-def _prod(gs, d):
-    g = gs.zeros((6, 10), "double")
-    run(smap(lambda x, y, g: g.emit(when(x % 2 == 0, k.cast(2, "double"), k.cast(1, "double"))), whole((6, 10)), g))
-    return reduce_grid_df(g, "prod")
+def _product(kind: str) -> None:
+    """Factors 1 and 3 from the first hour's counts: exact in every type."""
+    back = "BIGINT" if kind in ("int", "long") else "DOUBLE"
+
+    @query(f"reduce_prod_{kind}", f"WITH g AS ({T.sql('event_hd')}) SELECT CAST(product(CASE WHEN x = 0 THEN 1 + 2 * (v % 2) ELSE 1 END) AS {back}) AS value FROM g")
+    def f(gs, d):
+        g, out = T.event_hd(gs, d), gs.zeros(HD, kind)
+        run(smap(lambda x, y, g, out: out.emit(k.cast(when(x == 0, g[x, y] % 2 * 2 + 1, 1), kind)), whole(HD), g, out))
+        return reduce_grid_df(out, "prod")
+
+
+for _kind in ("long", "int", "float", "double"):
+    _product(_kind)
 
 
 _AFTER = _chain("event_hd", HD, cube(2), 2, inner(HD), False)
@@ -642,11 +777,22 @@ def _transpose(gs, d):
 # Workloads ---------------------------------------------------------------------------------------
 
 
+def diffusion(x, y, z, g, out):
+    """A weighted mean of the star's cells; an edge cell takes the place of neighbours beyond it."""
+    here = (x, y, z)
+    total = g[here] * 0.25
+    for axis in range(3):
+        for by, edge in ((-1, 0), (1, g.dim(axis) - 1)):
+            near = tuple(c + by if j == axis else c for j, c in enumerate(here))
+            total = total + when(here[axis] == edge, g[here], g[near]) * 0.125
+    out.emit(total)
+
+
 @query(
     "diffusion_step",
-    f"WITH g AS ({T.sql('dtq', 'DOUBLE')}) SELECT t.x, t.y, t.z, 0.25 * t.v + 0.125 * coalesce(w.v, t.v) + 0.125 * coalesce(e.v, t.v) + 0.125 * coalesce(s.v, t.v) "
-    "+ 0.125 * coalesce(n.v, t.v) + 0.125 * coalesce(b.v, t.v) + 0.125 * coalesce(u.v, t.v) AS v FROM g t "
-    + "".join(_at("g", a, _shift(DT, o, False)).lstrip(" ") + " " for a, o in zip("wesnbu", star(3)[1:], strict=True)),
+    f"WITH g AS ({T.sql('dtq', 'DOUBLE')}) SELECT t.x, t.y, t.z, t.v * 0.25"
+    + "".join(f" + coalesce(n{i}.v, t.v) * 0.125" for i in range(6))
+    + " AS v FROM g t" + "".join(_at("g", f"n{i}", _shift(DT, o, False)) for i, o in enumerate(star(3)[1:])),
 )
 def _diffusion(gs, d):
     g, out = T.dtq(gs, d, "double"), gs.zeros(DT, "double")
@@ -654,16 +800,6 @@ def _diffusion(gs, d):
     return out.to_df()
 
 
-def diffusion(x, y, z, g, out):
-    """Seven points, clamped at the edges."""
-    c = g[x, y, z]
-    nx, ny, nz = (g.dim(i) for i in range(3))
-    w, e = when(x == 0, c, g[x - 1, y, z]), when(x == nx - 1, c, g[x + 1, y, z])
-    s, n = when(y == 0, c, g[x, y - 1, z]), when(y == ny - 1, c, g[x, y + 1, z])
-    b, t = when(z == 0, c, g[x, y, z - 1]), when(z == nz - 1, c, g[x, y, z + 1])
-    out.emit(0.25 * c + 0.125 * w + 0.125 * e + 0.125 * s + 0.125 * n + 0.125 * b + 0.125 * t)
-
-
 #: The 18 neighbours of a 19-point step: faces and edges of the cube.
 EDGES = [o for o in cube(3) if 0 < sum(map(abs, o)) < 3]
 _WEIGHTS = {o: 4 if sum(map(abs, o)) == 1 else 1 for o in EDGES}
