@@ -140,23 +140,34 @@ def _modulo(x: np.ndarray) -> np.ndarray:
     return np.where(x >= p, x - p, x)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's content, independent of its place.
+class SpanHashes:
+    """64-bit hashes of spans' contents, independent of their place.
 
     Two polynomials modulo a prime: no pair of contents collides whatever the
-    base, as some do modulo a power of two.
+    base, as some do modulo a power of two.  Prefix sums are made once.
     """
-    n = len(values)
-    p, by = np.uint64(_PRIME), np.uint64(31)
-    plain = values.astype(np.uint64) + np.uint64(1)
-    out = (ends - starts).astype(np.uint64) << np.uint64(40)
-    total = np.zeros(n + 1, np.uint64)
-    for k, (up, down) in enumerate(_lanes(n + 1)):
-        part = plain * up[:n]
-        np.cumsum((part & p) + (part >> by), out=total[1:])
-        own = _modulo(_modulo(total[ends] - total[starts]) * down[starts])
-        out = mixed(out ^ own) if k else out ^ (own << np.uint64(31))
-    return out
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        p, by = np.uint64(_PRIME), np.uint64(31)
+        plain = values.astype(np.uint64) + np.uint64(1)
+        self.lanes = []
+        for up, down in _lanes(n + 1):
+            part = plain * up[:n]
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((part & p) + (part >> by), out=total[1:])
+            self.lanes.append((total, down))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = (ends - starts).astype(np.uint64) << np.uint64(40)
+        for k, (total, down) in enumerate(self.lanes):
+            own = _modulo(_modulo(total[ends] - total[starts]) * down[starts])
+            out = mixed(out ^ own) if k else out ^ (own << np.uint64(31))
+        return out
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return SpanHashes(values).of(starts, ends)
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

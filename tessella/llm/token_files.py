@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,9 @@ class CachedTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
-        got = [[t.id for t in self.tokenize(w)] for w in spelled]
-        sizes = np.asarray([len(g) for g in got], np.int64)
-        flat = np.fromiter((t for g in got for t in g), np.uint32, int(sizes.sum()))
+        got = list(map(self.tokenize, spelled))
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((t.id for g in got for t in g), np.uint32, int(sizes.sum()))
         n, k = self.used, len(self.known)
         while n + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -165,12 +166,16 @@ class CachedTokenizer:
         starts, ends = token_spans(points, offsets, blanks=True)
         codes, where = distinct_spans(points, starts, ends)
         joined = "".join(texts)
-        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        words = list(map(joined.__getitem__, map(slice, starts[where].tolist(), ends[where].tolist())))
         if self.chars > self.max_chars:
             self._clear()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        slots = np.asarray([self.known[w] for w in words], np.int64)[codes]
+        first = len(self.known)
+        held = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(held < 0)
+        if len(new):
+            self._learn([words[k] for k in new.tolist()])
+            held[new] = np.arange(first, first + len(new))
+        slots = held[codes]
         sizes = self.sizes[slots]
         stops = np.cumsum(sizes)
         at = np.repeat(self.first[slots] - (stops - sizes), sizes) + np.arange(int(stops[-1]))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, text_blocks
-from .pretoken import LETTER, char_classes, code_points, distinct, span_hashes
+from .pretoken import LETTER, SpanHashes, char_classes, code_points, distinct
 
 HASH_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -63,13 +63,14 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     starts = np.flatnonzero((edge & letter[1:]) | first)
     ends = np.flatnonzero((edge & letter[:-1]) | (first & letter[:-1]))
     docs = np.searchsorted(offsets, starts, side="right") - 1
-    codes, found, where = distinct(span_hashes(points, starts, ends))
+    hashes_of = SpanHashes(points).of
+    codes, found, where = distinct(hashes_of(starts, ends))
     s, e = starts[where], ends[where]
     owners, hashes = [np.arange(len(found))], [found]
     for k in PREFIXES:
         longer = np.flatnonzero(e - s > k)
         owners.append(longer)
-        hashes.append(span_hashes(points, s[longer], s[longer] + k) + np.uint64(k))
+        hashes.append(hashes_of(s[longer], s[longer] + k) + np.uint64(k))
     places = (np.concatenate(hashes) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
     return docs, codes, np.concatenate(owners), places
 
