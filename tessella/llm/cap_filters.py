@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, small_batches
+from .common import materialize, shuffle_width, small_batches, whole_groups
 from .components import components
 
 FILTERS = 32
@@ -97,22 +97,21 @@ class CapFilters:
         return row, code
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Usable vectors in double precision; None for null, zero, empty or non-finite ones."""
-    out: list[np.ndarray | None] = []
-    for raw in column.to_pylist():
-        v = None if raw is None or any(x is None for x in raw) else np.asarray(raw, np.float64) + 0.0
-        good = v is not None and len(v) and np.isfinite(v).all() and v.any()
-        out.append(v if good else None)
-    return out
+def _vectors(column: pa.Array) -> list[bytes | None]:
+    """Usable vectors as bytes of doubles; None for null, zero, empty or non-finite ones."""
+    column = column.cast(pa.large_list(pa.float64()))
+    edges = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False) + 0.0  # nulls are NaN; no negative zeros
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    full = np.concatenate([[0], np.cumsum(values != 0)])
+    good = np.asarray(column.is_valid()) & (np.diff(bad[edges]) == 0) & (np.diff(full[edges]) > 0)
+    return [values[a:b].tobytes() if g else None for a, b, g in zip(edges[:-1].tolist(), edges[1:].tolist(), good.tolist(), strict=True)]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        vectors = _vectors(batch.column("embedding"))
-        keep = [v is not None and lab is not None for v, lab in zip(vectors, labels, strict=True)]
-        raw = [v.tobytes() if k else None for v, k in zip(vectors, keep, strict=True)]
+        labelled = np.asarray(batch.column("label").is_valid()).tolist()
+        raw = [v if k else None for v, k in zip(_vectors(batch.column("embedding")), labelled, strict=True)]
         names = [hashlib.blake2b(r, digest_size=16).hexdigest() if r is not None else None for r in raw]
         yield pa.RecordBatch.from_arrays(
             [batch.column("vec_id"), batch.column("label"), pa.array(names, pa.string()), pa.array(raw, pa.binary())],
@@ -179,7 +178,7 @@ def _likely(bound: int):
                 has[right] |= near.any(0)
         yield pa.RecordBatch.from_arrays([pa.array(cols[c][has]) for c in ("group", "owner", "filter", "cid")], ["group", "owner", "filter", "cid"])
 
-    return lambda batches: _whole_groups(batches, found)
+    return lambda batches: whole_groups(batches, KEYS, found)
 
 
 def _groups(cols: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -189,29 +188,9 @@ def _groups(cols: dict[str, np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
-    """Pass sorted rows on in tables that cut no group."""
-    held: list[pa.RecordBatch] = []
-    key_at = lambda batch, k: tuple(batch.column(c)[k].as_py() for c in KEYS)
-    for batch in batches:
-        if not len(batch):
-            continue
-        last = key_at(batch, len(batch) - 1)
-        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(KEYS, last, strict=True)], axis=0)
-        tail = int(np.argmax(same))
-        if held and (tail or key_at(held[-1], 0) != last):
-            yield from found(pa.Table.from_batches([*held, batch.slice(0, tail)]))
-            held = []
-        elif tail:
-            yield from found(pa.Table.from_batches([batch.slice(0, tail)]))
-        held.append(batch.slice(tail))
-    if held:
-        yield from found(pa.Table.from_batches(held))
-
-
 def _dealt(rows: DataFrame, width: int) -> DataFrame:
     """Rows of groups of two or more, dealt as block pairs (i, j) of at most two blocks each."""
-    sizes = rows.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(rows.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"))
     sizes = sizes.select("group", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
     cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")
     out = rows.join(sizes, "group").withColumn("block", F.expr("cast(pmod(xxhash64(cid, group), blocks) as int)"))
@@ -279,7 +258,7 @@ def _comparer(threshold: float):
         n = [*counts.values(), *([0] * len(edges))]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    return lambda batches: _whole_groups(batches, found)
+    return lambda batches: whole_groups(batches, KEYS, found)
 
 
 def near_vectors(
@@ -291,7 +270,9 @@ def near_vectors(
     dimension.  Equal vectors of a label are one class, which stands for all its
     copies in every count.  A null label, and vectors that are null, empty, zero
     or hold null or non-finite components link with nothing and are kept; so is
-    a null id.  Rows of one id count as separate vectors in ``n_links``.
+    a null id.  Rows of one id count as separate vectors in ``n_links``.  Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
+    Vectors of any length are compared whole.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -303,7 +284,7 @@ def near_vectors(
     described = materialize(described)
     usable = described.where("name IS NOT NULL AND vec_id IS NOT NULL")
     classes = usable.groupBy("label", "name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes.withColumn("cid", F.xxhash64("label", "name")))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))  # numbered once, as written
     width = shuffle_width(spark)
     decoded = classes.select("label", "cid", "rep", "copies", "vector").mapInArrow(
         _decoder(classes.count()), f"label {label_type}, cid long, rep long, copies long, vector binary, dim int, filters array<long>, signs binary"

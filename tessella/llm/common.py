@@ -77,6 +77,27 @@ def release(spark: SparkSession, keep: list[str] | None = None) -> None:
         held.remove(path)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], found) -> Iterator[pa.RecordBatch]:
+    """Pass rows, sorted by their keys, on to ``found`` in tables that cut no group."""
+    held: list[pa.RecordBatch] = []
+    key_at = lambda batch, k: tuple(batch.column(c)[k].as_py() for c in keys)
+    for batch in batches:
+        if not len(batch):
+            continue
+        # keep the last group back, as the next batch may go on with it
+        last = key_at(batch, len(batch) - 1)
+        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(keys, last, strict=True)], axis=0)
+        tail = int(np.argmax(same))
+        if held and (tail or key_at(held[-1], 0) != last):
+            yield from found(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+            held = []
+        elif tail:
+            yield from found(pa.Table.from_batches([batch.slice(0, tail)]))
+        held.append(batch.slice(tail))
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, small_batches, stored
+from .common import materialize, shuffle_width, small_batches, stored, whole_groups
 from .components import components
 from .pretoken import mixed, span_hashes
 
@@ -195,7 +195,8 @@ def confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     sets = wanted.mapInArrow(_sets, "id long, members binary")
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    return materialize(rows.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long").distinct())
+    # no aggregate follows the joins, so that a leader of many pairs can be split between tasks
+    return materialize(rows.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"))
 
 
 def _match_blocks(percent: int, nearest: int | None):
@@ -261,37 +262,11 @@ def _match_blocks(percent: int, nearest: int | None):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _whole_groups(batches, found)
+        yield from whole_groups(batches, ("key", "i", "j"), found)
 
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
-    """Pass rows on in tables that cut no (key, i, j) group."""
-    held: list[pa.RecordBatch] = []
-
-    def group_at(batch: pa.RecordBatch, k: int) -> tuple:
-        return tuple(batch.column(c)[k].as_py() for c in ("key", "i", "j"))
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        # keep the last group back, as the next batch may go on with it
-        last = group_at(batch, len(batch) - 1)
-        same = np.ones(len(batch), bool)
-        for c, v in zip(("key", "i", "j"), last, strict=True):
-            same &= batch.column(c).to_numpy() == v
-        tail = int(np.argmax(same))
-        if held and (tail or group_at(held[-1], 0) != last):
-            yield from found(pa.Table.from_batches([*held, batch.slice(0, tail)]))
-            held = []
-        elif tail:
-            yield from found(pa.Table.from_batches([batch.slice(0, tail)]))
-        held.append(batch.slice(tail))
-    if held:
-        yield from found(pa.Table.from_batches(held))
-
-
 def _matches(x: str, y: str):
     return F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> int(p = q)), 0, (n, k) -> n + k)")
 
@@ -304,6 +279,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing.  ``component_id`` is the least id reachable, ``kept`` that it
     is the document's own.  Null texts are empty; a null id links with nothing
     and is kept.  Rows of one id count as one document for linking and all stay.
+    Texts of any length give their whole sets; other columns are ignored; an
+    empty table gives an empty result.  Words and shingles are compared by 62-bit
+    hashes modulo a prime, mixed to 64 bits.
     """
     small_batches(docs.sparkSession)
     width, matches = shuffle_width(docs.sparkSession), matches_at(percent)
@@ -314,18 +292,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes)
     posted = classes.select("rep", F.posexplode(F.slice("sig", 1, COORDS - matches + 1)).alias("coord", "value"))
     posted = posted.select("rep", "coord", F.expr("shiftleft(cast(coord as long), 32) | (value & 4294967295L)").alias("key"))
-    sizes = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     posted = materialize(posted.join(sizes, "key"))
 
     # each list's leader: the member that shares the most
     shared = posted.groupBy("rep").agg(F.sum("size").alias("shares"))
     ranked = posted.join(shared, "rep")
     lead = ranked.groupBy("key").agg(F.min(F.struct(-F.col("shares"), F.col("rep")))["rep"].alias("lead"))
-    stars = posted.select("key", "rep").join(lead, "key").where("rep <> lead").select("rep", "lead").distinct()
+    stars = materialize(posted.select("key", "rep").join(lead, "key").where("rep <> lead").select("rep", "lead").distinct())
     sigs = classes.select("rep", "sig", "bins", "n_shingles")
     stars = stars.join(sigs.select("rep", F.col("sig").alias("p")), "rep")
     stars = stars.join(sigs.select(F.col("rep").alias("lead"), F.col("sig").alias("q")), "lead")
-    stars = materialize(stars.where(_matches("p", "q") >= matches).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = materialize(stars.where(_matches("p", "q") >= matches).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     links = confirm(texts, stars, percent)
     known = materialize(components(links))
 
@@ -334,7 +312,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # lists that still hold several components
         member = posted.join(known, posted.rep == known.id, "left").select("key", "coord", "rep", F.coalesce("component", "rep").alias("comp"))
         several = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        several = several.where("lo <> hi").select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+        several = materialize(several.where("lo <> hi").select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks")))
         member = member.join(several, "key").withColumn("block", F.expr("cast(pmod(xxhash64(rep, key), blocks) as int)"))
         member = member.join(sigs, "rep")
         cells = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) as i, greatest(block, k) as j))")

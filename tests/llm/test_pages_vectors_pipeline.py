@@ -111,9 +111,11 @@ def near_vectors(seed=0, n=400, dim=16):
 ODD = [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] * 16, 1), (5003, [1.0, None] + [0.0] * 14, 1), (5004, [], 1), (5005, [1.0] * 16, None), (5006, [1.0] * 16, 1), (5007, [2.0] * 16, 1), (5008, [1.0] * 4, 1), (5009, [float("inf")] + [1.0] * 15, 1), (5010, [1e300] * 16, 1)]
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_near_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "holds", "blocks"), [(256, 64, 2), (8, 64, 2), (256, 0.2, 3)])
+def test_near_vectors_against_brute_force(spark, monkeypatch, block, holds, blocks):
     monkeypatch.setattr(cap_filters, "BLOCK", block)
+    monkeypatch.setattr(cap_filters, "HOLDS", holds)
+    assert len(cap_filters.CapFilters.plan(16, 500).books) == blocks
     rows = near_vectors() + ODD
     good = [(i, np.asarray(v, float), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     links, parent = collections.Counter(), {i: i for i, _, _ in rows}
@@ -135,10 +137,12 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in cap_filters.near_vectors(df).collect()}
     assert len(got) == len(rows)
-    found, there = sum(r.n_links for r in got.values()), sum(links.values())
-    assert found <= there and found >= 0.99 * there
-    if found == there:
-        assert all((got[i].n_links, got[i].component_id, got[i].kept) == (links[i], find(i), find(i) == i) for i in parent)
+    # every link that is counted is one; nearly all are found, and where all of a component are, it is whole
+    assert all(got[i].n_links <= links[i] for i in parent)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links.values())
+    short = {find(i) for i in parent if got[i].n_links < links[i]}
+    assert len(short) <= 2
+    assert all((got[i].component_id, got[i].kept) == (find(i), find(i) == i) for i in parent if find(i) not in short)
     assert all(got[i].n_links == 0 and got[i].kept for i in (5000, 5001, 5002, 5003, 5004, 5005, 5008, 5009))
     assert got[5006].n_links == got[5010].n_links == 2
 
