@@ -340,7 +340,7 @@ def test_field_learns_and_decodes_exactly():
     for i in range(400):
         key = hashlib.sha256(str(i).encode()).hexdigest()[:20]
         texts.append(f"{prose(i, 20)} " + (f"password={key} " if i % 2 else "") + prose(i + 1000, int(rng.integers(1, 20))))
-    x, y, ok = secrets.training_windows(texts[:300], 1)
+    x, y, ok = secrets.training_windows(texts[:300], list(range(300)))
     model = secrets.fit_field(x, y, ok)
     t = secrets.tokens(texts[300:])
     e = model.emissions(t)
@@ -353,6 +353,41 @@ def test_field_learns_and_decodes_exactly():
         assert model._viterbi((e[:, 1:] - e[:, :1])[a:b], move) == tags[a:b].tolist()
 
 
+def test_field_finds_secrets_that_the_patterns_miss():
+    """Trained on the patterns' own finds, the field tags keys under other names, and nothing else."""
+    rng = np.random.default_rng(18)
+    key = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    hexa, small = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [f"{prose(i, 30)} " + (f'token = "{key(hexa, 40)}" ' if i % 3 == 0 else "") + f"{prose(i + 900, 30)} it's \"said\" = so." for i in range(500)]
+    x, y, ok = secrets.training_windows(texts, list(range(500)))
+    model = secrets.fit_field(x, y, ok)
+    found = wrong = 0
+    for i in range(200):
+        hidden = key(small if i % 2 else hexa.upper(), 24 if i % 4 < 2 else 30)
+        text = f'{prose(i + 5000, 20)} pwd = "{hidden}" {prose(i + 7000, 20)} he "said" so.'
+        (base, spans), = secrets.find([text], model)
+        assert not base
+        at = text.index(hidden)
+        found += any(a <= at and b >= at + len(hidden) for _, a, b in spans)
+        wrong += sum(b <= at or a >= at + len(hidden) for _, a, b in spans)
+    assert found >= 180 and wrong <= 4
+
+
+def test_long_blocks_of_short_texts_decode_exactly():
+    """Many documents in a block cost no digits: every tag is what Viterbi over the one document gives."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    docs = np.sort(rng.integers(0, 20_000, n))
+    e = rng.normal(0, 3, (n, 3))
+    model = secrets.FieldModel(np.zeros((secrets.WIDTH, 3)), rng.normal(0, 2, (3, 3)))
+    tags = model.decode(e, docs)
+    move = model.moves - model.moves[0, 0]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(docs)) + 1, [n]])
+    for k in rng.integers(0, len(edges) - 1, 3000).tolist():
+        a, b = edges[k], edges[k + 1]
+        assert model._viterbi((e[:, 1:] - e[:, :1])[a:b], move) == tags[a:b].tolist()
+
+
 def test_field_spans_that_reach_beyond_a_pattern_stay():
     text, other = "see password=abcdefgh!Xy12 and on", "see password=abcdefgh and on"
 
