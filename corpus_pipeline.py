@@ -20,14 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe_codec, mixing, near_dedup, secrets, toxicity
-from tessella.llm.common import materialize, stored, table
+from tessella.llm.common import held_folders, materialize, release, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under the threshold; a null text scores as an empty one."""
+    """Documents whose score stays under the threshold.
+
+    A null text scores as an empty one; rows with a null id and repeated rows are
+    scored like others; an empty table stays empty.  Only the columns of documents
+    go on, whatever else ``docs`` holds, in this stage and all others.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where(~F.col("_toxic")).select(*COLUMNS)
 
@@ -55,20 +60,35 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets replaced, and ``n_chars`` counted anew."""
+    """Texts with their secrets replaced, and ``n_chars`` counted anew.
+
+    Rows stay, also repeated ones; a null text stays null with its ``n_chars``; null
+    ids are not in the field's training sample; texts of any length are searched
+    whole; an empty table stays empty.
+    """
     rows = docs.select(*COLUMNS)
     done = secrets.redact(rows, secrets.fit(rows))
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each epoch of a document that the mix takes; the last may be its first words only."""
+    """A row for each epoch of a document that the mix takes; the last may be its first words only.
+
+    Documents without words (null and empty texts) give no row, as there is nothing
+    to take; null ids and sources are values like others; of rows that are equal in
+    source, id and text each counts; ties have the order of the row key's MD5; an
+    empty table stays empty.
+    """
     rows = docs.select(*COLUMNS)
     return mixing.materialize_mix(rows).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: doc_id, source, n_tokens, ids_sha256, decoded_sha256."""
+    """Per row: doc_id, source, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text is encoded as an empty one; rows stay, also repeated ones; an empty
+    table gives an empty result.
+    """
     coded = bpe_codec.encode(docs.withColumn("key", F.struct("doc_id", "source")), id_col="key", digests=True)
     return coded.select("doc_id.doc_id", "doc_id.source", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -86,8 +106,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again.
+
+    What a stage has written for itself, and its predecessor's rows, are removed
+    once its own are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), list(held_folders(spark))
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, keep=[*before, held_folders(spark)[-1]])
     return docs
