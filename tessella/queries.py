@@ -26,7 +26,11 @@ HD, NM, SD, DT = (24, 30), (25, 80), (2500,), (11, 9, 50)
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[GridSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(T.session(spark), sf_dir)
+        def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with T.utc(spark):
+                return f(GridSession(spark), sf_dir)
+
+        QUERIES[name] = asked
         if sql:
             ORACLES[name] = sql
         return f

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grids import Grid, GridSession
@@ -11,9 +15,19 @@ def _day(col: str, start: str):
     return F.datediff(F.col(col).cast("date"), F.lit(start).cast("date"))
 
 
-def session(spark) -> GridSession:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return GridSession(spark)
+@contextmanager
+def utc(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside read clocks in UTC; the session's own zone is put back.
+
+    Spark fixes an expression's zone when the frame is analysed, which is when it is made.
+    """
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def event_hd(gs: GridSession, sf_dir: str, cell: str = "long") -> Grid:
