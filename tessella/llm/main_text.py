@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, stored
 from .pretoken import mixed
-from .suffixes import covered
+from .runs import covered
 
 RUN = 8
 MANY = 10

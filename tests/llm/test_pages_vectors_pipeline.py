@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tessella.llm import cap_filters, components, main_text, suffixes
+from tessella.llm import cap_filters, components, main_text, runs
 
 
 def page(body, head=""):
@@ -89,12 +89,10 @@ def test_site_blocks_go_from_articles_too(spark):
     assert all(got[200 + i] == f"{own[i]} {notice}" for i in range(4))
 
 
-def test_prefix_ranks():
-    v = np.random.default_rng(0).integers(0, 3, 200)
-    for depth in (1, 3, 8, 13):
-        keys = [tuple(v[i : i + depth]) for i in range(200)]
-        order = {k: n for n, k in enumerate(sorted(set(keys)))}
-        assert suffixes.prefix_ranks(v, depth).tolist() == [order[k] + 1 for k in keys]
+def test_covered():
+    v = np.random.default_rng(0).random(200) < 0.02
+    want = [any(v[max(0, i - 4) : i + 1]) for i in range(200)]
+    assert runs.covered(np.flatnonzero(v), 5, 200).tolist() == want
 
 
 def near_vectors(seed=0, n=400, dim=16):
