@@ -142,27 +142,35 @@ def fit_rows(
     """
     rng = np.random.default_rng(seed)
     n = len(y)
-    w, v = np.zeros(width, np.float32), np.zeros((width, FACTORS), np.float32)
+    w, v = np.zeros(width, np.float32), np.zeros((FACTORS, width), np.float32)
     if not n or not width or not 0 < y.sum() < n:
-        return 0.0, w, v
+        return 0.0, w, v.T
     v += rng.normal(0, 0.1, v.shape)
     share = float(y.mean())
     bias = np.full(1, np.log(pos_weight * share / (1 - share)))
     order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * batch // n))])
-    params = [(bias, 0.0), (w, linear_penalty), (v, factor_penalty)]
+    params = [(bias, 0.0), (w, linear_penalty), *((row, factor_penalty) for row in v)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p, _ in params]
     for step in range(1, steps + 1):
         rows = order[(step - 1) * batch : step * batch]
+        rows = rows[x.edges[rows + 1] > x.edges[rows]]  # rows without terms tell nothing
+        if not len(rows):
+            continue
         own, place, value = x.take(rows)
-        part = v[place] * value[:, None]
-        sums = np.stack([np.bincount(own, part[:, k], len(rows)) for k in range(FACTORS)], 1)
-        squares = np.bincount(own, (part * part).sum(1), len(rows))
-        raw = bias + np.bincount(own, w[place] * value, len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
+        first = np.searchsorted(own, np.arange(len(rows)))
+        raw = bias + np.add.reduceat(w[place] * value, first)
+        parts, sums = [], []
+        for row in v:
+            part = row[place] * value
+            total = np.add.reduceat(part, first)
+            raw += 0.5 * (total**2 - np.add.reduceat(part * part, first))
+            parts.append(part)
+            sums.append(total)
         truth = y[rows]
         g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - truth) * np.where(truth > 0, pos_weight, 1.0) / len(rows)
         pull = (g[own] * value).astype(np.float32)
-        push = pull[:, None] * (sums.astype(np.float32)[own] - part)
-        grads = [np.asarray([g.sum()]), np.bincount(place, pull, width), np.stack([np.bincount(place, push[:, k], width) for k in range(FACTORS)], 1)]
+        grads = [np.asarray([g.sum()]), np.bincount(place, pull, width)]
+        grads += [np.bincount(place, pull * (total[own] - part), width) for part, total in zip(parts, sums, strict=True)]
         now = rate * (1 - 0.9 * step / steps)
         for (p, penalty), grad, (mean, square) in zip(params, grads, moments, strict=True):
             grad = grad.astype(p.dtype)
@@ -174,7 +182,7 @@ def fit_rows(
             p -= reach * (mean / (1 - 0.9**step))
             if penalty:
                 p[...] = np.sign(p) * np.maximum(np.abs(p) - reach * penalty, 0)
-    return float(bias[0]), w, v
+    return float(bias[0]), w, v.T
 
 
 def machine(docs: int, rows: Rows, y: np.ndarray) -> FactorizationMachine:
