@@ -15,9 +15,10 @@ from .model import Domain, GridType
 from .operators.grids import Grid, GridSession
 from .operators.reduce import map_reduce, reduce_grid
 from .operators.run import RunResult, run
+from .operators.tune import Settings, tuned
 from .plans.trace import StencilMap, smap, smap_black, smap_red, smap_redblack
 
 __all__ = [
-    "Domain", "Grid", "GridSession", "GridType", "RunResult", "StencilMap", "cast", "f32", "map_reduce", "reduce_grid",
-    "run", "smap", "smap_black", "smap_red", "smap_redblack", "when",
+    "Domain", "Grid", "GridSession", "GridType", "RunResult", "Settings", "StencilMap", "cast", "f32", "map_reduce", "reduce_grid",
+    "run", "smap", "smap_black", "smap_red", "smap_redblack", "tuned", "when",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from math import prod
 
@@ -162,6 +163,20 @@ class Grid:
             block, step = block + block_of(axis, n, p) * F.lit(step), step * p
         return self.to_df().withColumn("block", block.cast("int")).repartitionById(step, "block")
 
+    def evaluated(self) -> float:
+        """Compute all cells and drop them; returns the seconds it took."""
+        began = time.perf_counter()
+        self.to_df().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    def reduce(self, op: str, domain: Domain | None = None, kernel=None, **options):
+        """max, min, sum or prod of the cells, or of what a kernel gives, over a domain (or the whole grid)."""
+        from .reduce import map_reduce, reduce_grid
+
+        if domain is None and kernel is None:
+            return reduce_grid(self, op, **options)
+        return map_reduce(op, kernel or _itself(len(self.dims)), domain or self.domain(), self, **options)
+
     def free(self) -> None:
         self.frame.unpersist()
         self.session.grids.discard(self)
@@ -195,6 +210,10 @@ def block_of(axis: str, n: int, parts: int):
     return F.when(at < edge, F.floor(at / base)).otherwise(plain + F.floor((at - edge) / (base + 1))).cast("int")
 
 
+def _itself(rank: int):
+    return {1: lambda x, g: g[x], 2: lambda x, y, g: g[x, y], 3: lambda x, y, z, g: g[x, y, z]}[rank]
+
+
 def _plain(v):
     return [_plain(x) for x in v] if isinstance(v, (list, np.ndarray)) else v
 

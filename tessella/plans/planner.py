@@ -6,7 +6,9 @@
 * ``scatter``: every source cell is sent to the places that read it, and one
   ``groupBy`` on the place collects them: one shuffle for any number of offsets
   and grids.
-* ``tile``: blocks with halos as numpy arrays, several steps to a shuffle.
+* ``tile``: blocks with halos as numpy arrays, several steps to a shuffle. Chains of
+  maps that read straight neighbours on grids of equal extents run this way
+  (``tiles.steps_on_tiles``); ``choose`` below plans the maps of all others.
 
 Reads that can't be inverted (constant planes, grids of lower rank) are joined on
 the coordinates they use, beside either strategy.

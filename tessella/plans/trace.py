@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..model import AXES, Domain
-from .expr import Const, Coord, Expr, Get, gets, lift
+from .expr import Const, Coord, Expr, Get, When, gets, lift
 
 RED, BLACK = 0, 1
 
@@ -151,6 +151,36 @@ class GridRef:
             held = value[plain] if isinstance(value, dict) else getattr(value, name)
             spread(name, m.shape, held, ())
 
+    def _edge(self) -> Expr:
+        """Whether the place is on the grid's boundary."""
+        out = None
+        for k, n in enumerate(self._grid.dims):
+            here = (Coord(k) == 0) | (Coord(k) == n - 1)
+            out = here if out is None else out | here
+        return out
+
+    def emit_dirichlet(self, value) -> None:
+        """Write a constant at the grid's boundary, over what was emitted there."""
+        self.emit_if(self._edge(), value)
+
+    def emit_neumann(self, source: GridRef, factor=1) -> None:
+        """Write, at the grid's boundary, the inner neighbour in ``source`` times ``factor``, over what was emitted there.
+
+        The inner neighbour is one step inwards along every axis at whose end the place lies.
+        """
+        dims = self._grid.dims
+        if any(n < 2 for n in dims):
+            raise ValueError(f"{dims} has no inner neighbours")
+
+        def pick(index: tuple) -> Expr:
+            k = len(index)
+            if k == len(dims):
+                return source[index]
+            c = Coord(k)
+            return When(c == 0, pick((*index, c + 1)), When(c == dims[k] - 1, pick((*index, c - 1)), pick((*index, c))))
+
+        self.emit_if(self._edge(), pick(()) * lift(factor))
+
     def __getattr__(self, name: str) -> _Emitter:
         members = self._grid.type.members
         for n in (name, f"m_{name}"):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessella import Domain, GridSession, cast, f32, map_reduce, reduce_grid, run, smap, smap_black, smap_red, smap_redblack, when
+from tessella.functions.kernel import log
 from tessella.queries import cube, inner, star, summing, whole
 
 N = 32
@@ -265,3 +266,67 @@ def test_plans(gs):
     assert "Exchange" not in g.frame._jdf.queryExecution().executedPlan().toString()
     run(smap(summing(star(2)), inner((64, 64)), g, out))
     assert out.frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_settings_and_trials(gs, tmp_path):
+    from tessella.operators.tune import Settings, patterns, tuned
+
+    own = Settings("tile", 2, (8, 8))
+    own.save(str(tmp_path / "run.json"))
+    assert Settings.load(str(tmp_path / "run.json")) == own
+    with pytest.raises(ValueError, match="unknown"):
+        Settings.of({"speed": 1})
+    n = (16, 16)
+    a, b = gs.iota(n, "long"), gs.iota(n, "long")
+    maps = [smap(summing(star(2)), inner(n), a, b), smap(summing(star(2)), inner(n), b, a)]
+    every = patterns(*maps, steps=(2,), edges=(8,))
+    before = a.to_numpy()
+    best, seconds = tuned(*maps, settings=[*every, Settings("tile", 40, (8, 8))], iters=1)
+    assert best in seconds and len(seconds) >= len(every) and (a.to_numpy() == before).all()
+    found = []
+    for choice in every:
+        c, d = gs.iota(n, "long"), gs.iota(n, "long")
+        choice.run(smap(summing(star(2)), inner(n), c, d), smap(summing(star(2)), inner(n), d, c), iters=2)
+        found.append(c.to_numpy())
+    assert all((f == found[0]).all() for f in found)
+
+
+def test_strategies_agree_where_c_is_open(gs):
+    """Overflow, division by zero, NaN and casts: one meaning map by map and on tiles."""
+    v = np.asarray([2**62, -(2**63), 2**63 - 1, 0, 7, -7], "int64")
+    f = np.asarray([np.nan, np.inf, -np.inf, 0.0, -1.0, 1e300])
+
+    def whole_numbers(x, a, out):
+        out.emit(a[x] * 4 + (2**63 - 1) + a[x] / (a[x] % 2) + a[x] % (a[x] - 7))
+
+    def floats(x, f, o, w):
+        o.emit(when(f[x] != f[x], 1.5, log(f[x])) + when(f[x] < 5.0, 1.0, 0.0) + when(f[x] >= 0.0, 10.0, 0.0))
+        w.emit(cast(f[x], "int"))
+
+    seen = []
+    for way in ("map", "tile"):
+        a, out = gs.from_numpy(v), gs.zeros((6,), "long")
+        g, o, w = gs.from_numpy(f), gs.zeros((6,), "double"), gs.zeros((6,), "int")
+        run(smap(whole_numbers, Domain((0, 6)), a, out), strategy=way, tile=(4,))
+        run(smap(floats, Domain((0, 6)), g, o, w), strategy=way, tile=(4,))
+        seen.append((out.to_numpy().tolist(), o.to_numpy().astype(str).tolist(), w.to_numpy().tolist()))
+    assert seen[0] == seen[1]
+    assert np.isnan(float(seen[0][1][4])) and seen[0][1][0] == "1.5" and seen[0][2][:2] == [0, -1]
+
+
+def test_saved_grids_blocks_and_writes(gs):
+    g = gs.iota((7, 5), "long")
+    for i in range(20):
+        g.set(i % 7, i % 5, -i)
+    want = np.arange(35).reshape(5, 7).T.copy()
+    for i in range(20):
+        want[i % 7, i % 5] = -i
+    assert (g.to_numpy() == want).all()
+    assert g.frame._jdf.queryExecution().logical().toString().count("Join") <= 8
+    g.save("test-grid")
+    assert (gs.restore("test-grid", (7, 5), "long").to_numpy() == want).all()
+    gs.forget("test-grid")
+    rows = g.partitioned((3, 2)).collect()
+    width = {(0, 0): 2, (0, 1): 2, (0, 2): 3}
+    assert {b: len({r.x for r in rows if r.block % 3 == b}) for b in range(3)} == {b: width[(0, b)] for b in range(3)}
+    assert {len({r.y for r in rows if r.block // 3 == b}) for b in range(2)} == {2, 3}
