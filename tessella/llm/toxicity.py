@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,18 +118,19 @@ class FactorizationMachine:
 
 @dataclass
 class Rows:
-    """A sparse matrix by rows: ``places`` and ``values`` of row i stand at ``edges[i]`` to ``edges[i + 1]``."""
+    """A sparse matrix by rows: ``places`` and ``values`` of row i stand at ``starts[i]`` to ``ends[i]``."""
 
-    edges: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     places: np.ndarray
     values: np.ndarray
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row number among ``rows``, place, value) of the entries of some rows."""
-        size = self.edges[rows + 1] - self.edges[rows]
+        size = self.ends[rows] - self.starts[rows]
         stops = np.cumsum(size)
-        at = np.repeat(self.edges[rows] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
-        return np.repeat(np.arange(len(rows)), size), self.places[at], self.values[at]
+        at = np.repeat(self.starts[rows] - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+        return np.repeat(np.arange(len(rows)), size), self.places[at].astype(np.int64), self.values[at]
 
 
 def fit_rows(
@@ -153,7 +155,7 @@ def fit_rows(
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p, _ in params]
     for step in range(1, steps + 1):
         rows = order[(step - 1) * batch : step * batch]
-        rows = rows[x.edges[rows + 1] > x.edges[rows]]  # rows without terms tell nothing
+        rows = rows[x.ends[rows] > x.starts[rows]]  # rows without terms tell nothing
         if not len(rows):
             continue
         own, place, value = x.take(rows)
@@ -185,13 +187,39 @@ def fit_rows(
     return float(bias[0]), w, v.T
 
 
-def machine(docs: int, rows: Rows, y: np.ndarray) -> FactorizationMachine:
-    """Fit on rows of hash places; only the terms that end with a weight keep a slot."""
-    frequent = np.bincount(rows.places, minlength=1 << HASH_BITS) >= MIN_DOCS
-    dense = np.cumsum(frequent) - 1
-    kept = frequent[rows.places]
-    edges = np.concatenate([[0], np.cumsum(kept)])[rows.edges]
-    bias, w, v = fit_rows(Rows(edges, dense[rows.places[kept]], rows.values[kept]), y[:docs], int(frequent.sum()))
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offsets of the cells) of a binary column of 32-bit numbers, without a copy of the numbers."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, "<i4", int(edges[-1] - edges[0]) // 4, int(edges[0])) if data is not None and edges[-1] > edges[0] else np.empty(0, "<i4")
+    return numbers, (edges - edges[0]) // 4
+
+
+def machine(sample: pa.Table) -> FactorizationMachine:
+    """Fit on (doc_id, label, places, counts); only the terms that end with a weight keep a slot.
+
+    Batches are gone through one by one, so that little more than the sample itself is held.
+    """
+    with_term = np.zeros(1 << HASH_BITS, np.int64)
+    for batch in sample.to_batches():
+        with_term += np.bincount(_packed(batch.column("places"))[0], minlength=1 << HASH_BITS)
+    frequent = with_term >= MIN_DOCS
+    dense = (np.cumsum(frequent) - 1).astype(np.int32)
+    places, values, edges, total = [np.empty(0, np.int32)], [np.empty(0, np.float32)], [np.zeros(1, np.int64)], 0
+    for batch in sample.to_batches():
+        (own, at), (counts, _) = _packed(batch.column("places")), _packed(batch.column("counts"))
+        kept = frequent[own]
+        places.append(dense[own[kept]])
+        values.append(np.log1p(counts[kept], dtype=np.float32))
+        edges.append(total + np.concatenate([[0], np.cumsum(kept)])[at[1:]])
+        total += len(places[-1])
+    by_id = pc.sort_indices(sample["doc_id"]).to_numpy()
+    every = np.concatenate(edges)
+    y = sample["label"].to_numpy().astype(np.float32)[by_id]
+    rows = Rows(every[:-1][by_id], every[1:][by_id], np.concatenate(places), np.concatenate(values))
+    del places, values
+    bias, w, v = fit_rows(rows, y, int(frequent.sum()))
     used = (w != 0) | (v != 0).any(1)
     slot = np.full(1 << HASH_BITS, -1, np.int32)
     slot[np.flatnonzero(frequent)[used]] = np.arange(int(used.sum()))
@@ -224,11 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), F.col("text")))["text"].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(_term_rows, f"doc_id {kind}, label int, places binary, counts binary").toArrow().sort_by("doc_id")
-    sizes = [len(p) // 4 for p in found["places"].to_pylist()]
-    places, counts = (np.frombuffer(b"".join(found[c].to_pylist()), "<i4").astype(np.int64) for c in ("places", "counts"))
-    rows = Rows(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64), places, np.log1p(counts).astype(np.float32))
-    return machine(len(found), rows, found["label"].to_numpy().astype(np.float32))
+    return machine(texts.mapInArrow(_term_rows, f"doc_id {kind}, label int, places binary, counts binary").toArrow())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
