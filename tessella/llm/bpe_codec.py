@@ -46,8 +46,9 @@ def encode(
     """Per document: doc_id, n_tokens, and ids (decimal, joined by a blank) with the decoded text.
 
     ``digests`` gives lowercase hex SHA-256 of both strings instead.  Null and
-    empty texts have no tokens and empty strings.  Rows are independent, so
-    repeated rows stay; other columns are ignored.  Special strings in a text
+    empty texts have no tokens and empty strings; texts of any length are encoded
+    whole.  Rows are independent, so repeated rows and null ids stay; other columns
+    are ignored, whatever their names; an empty table gives an empty result.  Special strings in a text
     get their ids, as in the library.  One pass, no shuffle.
     """
     small_batches(docs.sparkSession)

@@ -369,7 +369,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Per page: page_id, url, text (empty if none), n_chars (code points).
 
     Null html is empty; pages with a null url are a host of their own; repeated
-    rows count as distinct pages (of one article) and all stay.
+    rows count as distinct pages (of one article) and all stay, also with a null id.
+    Pages of any length are parsed whole; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -460,7 +460,9 @@ def scan(docs: DataFrame, model: FieldModel) -> DataFrame:
 
     Offsets are code points, end exclusive.  Fixed patterns' spans stay;
     spans of the field that lie within them are left out, and others may overlap
-    them.  Null and empty texts have none.  Rows are independent: repeated rows stay.
+    them.  Null and empty texts have none; texts of any length are searched whole.
+    Rows are independent: repeated rows and null ids stay.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")

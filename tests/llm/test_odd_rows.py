@@ -183,3 +183,23 @@ def test_host_repeats_by_brute_force(spark, width):
     got = {r.page_id: r.text for r in main_text.main_texts(df).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want and any(len(want[i]) < len(re.sub("<.*?>", "", h)) for i, _, h in rows)
+
+
+def test_shared_folders(spark):
+    from types import SimpleNamespace as Fake
+
+    from tessella.llm import common
+
+    unset = Fake(isDefined=lambda: False)
+    context = Fake(master="spark://host:7077", _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Fake(conf=Fake(get=lambda key, default: default), sparkContext=context))
+    assert common.shared_dir(Fake(conf=Fake(get=lambda key, default: "s3://all/of/us"))) == "s3://all/of/us"
+    before = list(common.held_folders(spark))
+    one, two = (common.stored(spark.range(n), "test") for n in (3, 4))
+    held = [p for p in common.held_folders(spark) if p not in before]
+    assert len(held) == 2
+    common.release(spark, keep=[*before, held[1]])
+    assert two.count() == 4 and common.held_folders(spark) == [*before, held[1]]
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        one.collect()
