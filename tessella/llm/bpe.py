@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .pretoken import code_points, distinct_spans, token_spans
+from .pretoken import Flat, SpanCache, code_points, distinct_spans, token_spans
 
 END = "</w>"
 NONE = np.int64(1 << 40)
@@ -184,6 +184,10 @@ class WordBpe:
         self.inner = {t: i for t, i in vocab.items() if usable[i] and not t.endswith(END)}
         self.final = {t[: -len(END)]: i for t, i in vocab.items() if usable[i] and t.endswith(END)}
         self.longest = max(map(len, [*self.inner, *self.final]))
+        self.reach: dict[str, int] = {}  # the longest inner token by its first three characters
+        for t in self.inner:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         self.exact = 0
         self.words = 0
 
@@ -193,12 +197,12 @@ class WordBpe:
         return raw.translate(self.letters)
 
     def _greedy(self, s: str) -> list[int] | None:
-        out, i, n, inner, final, longest = [], 0, len(s), self.inner, self.final, self.longest
+        out, i, n, inner, final, longest, reach = [], 0, len(s), self.inner, self.final, self.longest, self.reach
         while i < n:
             if n - i <= longest and (t := final.get(s[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(s[i : i + 3], 2)), i, -1):
                 if (t := inner.get(s[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -251,49 +255,48 @@ class TextEncoder:
     ``max_chars`` characters, so memory is bounded by that and one block.
     """
 
-    def __init__(self, bpe: WordBpe, max_chars: int = 2_000_000):
+    def __init__(self, bpe: WordBpe, max_chars: int = 4_000_000):
         self.bpe, self.max_chars = bpe, max_chars
-        self.known: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
-        self.chars = 0
-        self.ids: list[str] = []
-        self.decoded: list[str] = []
-        self.counts: list[int] = []
+        self.words, self.ids, self.decoded = SpanCache(), Flat(np.uint8), Flat(np.uint8)
+        self.counts = Flat(np.int64)
 
     def _learn(self, words: list[str]) -> None:
         names = self.bpe.tokens
-        for word, ids in zip(words, self.bpe.encode_words(words), strict=True):
-            self.known[word] = len(self.ids)
-            self.chars += len(word)
-            self.ids.append(" ".join(map(str, ids)))
-            self.decoded.append(" ".join([names[i] for i in ids]))
-            self.counts.append(len(ids))
+        coded = self.bpe.encode_words(words)
+        for held, strings in ((self.ids, [" ".join(map(str, ids)) for ids in coded]), (self.decoded, [" ".join([names[i] for i in ids]) for ids in coded])):
+            raw = [s.encode("utf-8", "surrogatepass") for s in strings]
+            held.add(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+        self.counts.add(np.fromiter(map(len, coded), np.int64, len(coded)), np.ones(len(coded), np.int64))
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Number of tokens, ids and decoded text of each text."""
         lowered = [normalised(t) for t in texts]
         points, offsets = code_points(lowered)
         starts, ends = token_spans(points, offsets, blanks=False)
-        codes, where = distinct_spans(points, starts, ends)
-        joined = "".join(lowered)
-        words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        if self.chars > self.max_chars:
+        codes, where, hashes = distinct_spans(points, starts, ends)
+        if self.words.held.used > self.max_chars:
             self._clear()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        slots = [self.known[w] for w in words]
-        sizes = np.asarray([self.counts[k] for k in slots], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        first, last = starts[where], ends[where]
+        slots = self.words.find(points, first, last - first, hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            joined = "".join(lowered)
+            self._learn([joined[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)])
+            slots[new] = self.words.add(points, first[new], last[new] - first[new], hashes[new])
+        sizes = self.counts.data[slots][codes] if len(codes) else np.zeros(0, np.int64)
         edges = np.searchsorted(starts, offsets)
         totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[edges])
         if not sizes.all():  # words without a token leave no blank either
             edges = np.concatenate([[0], np.cumsum(sizes > 0)])[edges]
             codes = codes[sizes > 0]
         out = []
-        for names in (self.ids, self.decoded):
-            each = pa.array([names[k] for k in slots], pa.string()).take(pa.array(codes))
+        for held in (self.ids, self.decoded):
+            raw, lengths = held.take(slots)
+            ends_ = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            each = pa.StringArray.from_buffers(len(slots), pa.py_buffer(ends_), pa.py_buffer(raw)).take(pa.array(codes))
             out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), each), " "))
         return totals, *out
 

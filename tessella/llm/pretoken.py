@@ -178,23 +178,37 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, found, where
 
 
-def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each span, first span of each code): equal codes for equal contents only.
+def flat_places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of some spans, one span after another."""
+    stops = np.cumsum(sizes)
+    return np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
+
+
+def differing(sizes: np.ndarray, unequal: np.ndarray) -> np.ndarray:
+    """Which spans hold a value that is unequal; ``unequal`` goes over all of them, one after another."""
+    out = np.zeros(len(sizes), bool)
+    wrong = np.flatnonzero(unequal)
+    if len(wrong):
+        out[np.unique(np.searchsorted(np.cumsum(sizes), wrong, side="right"))] = True
+    return out
+
+
+def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each span, first span of each code, its hash): equal codes for equal contents only.
 
     Codes come from hashes; every span is then held against the first of its
     code, value by value, and spans of a code that differ get codes of their own.
     """
-    codes, _, where = distinct(span_hashes(values, starts, ends))
+    hashes = span_hashes(values, starts, ends)
+    codes, _, where = distinct(hashes)
     codes = codes.astype(np.int64)
     size, first = ends - starts, where[codes]
     differs = size != size[first]
     again = np.flatnonzero((first != np.arange(len(codes))) & ~differs)
-    stops = np.cumsum(size[again])
-    if len(again):
-        at = np.arange(int(stops[-1])) + np.repeat(starts[again] - (stops - size[again]), size[again])
-        wrong = values[at] != values[at + np.repeat(starts[first[again]] - starts[again], size[again])]
-        if wrong.any():
-            differs[again[np.unique(np.searchsorted(stops, np.flatnonzero(wrong), side="right"))]] = True
+    at = flat_places(starts[again], size[again])
+    other = np.repeat(starts[first[again]] - starts[again], size[again])
+    other += at
+    differs[again] = differing(size[again], values[at] != values[other])
     if differs.any():
         mixed_up = np.flatnonzero(np.isin(codes, codes[differs]))
         names: dict[bytes, int] = {}
@@ -204,4 +218,68 @@ def distinct_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         codes, found = pd.factorize(codes)
         where = np.empty(len(found), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    return codes, where
+    return codes, where, hashes[where]
+
+
+class Flat:
+    """Spans of numbers in one growing array."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.empty(1 << 16, kind), 0
+        self.starts, self.sizes, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Append spans that stand one after another in ``values``."""
+        n, k = self.used + len(values), self.count + len(sizes)
+        while n > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while k > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.sizes))
+        self.data[self.used : n] = values
+        self.starts[self.count : k] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : k] = sizes
+        self.used, self.count = n, k
+
+    def take(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of some spans, one after another; their sizes)."""
+        sizes = self.sizes[slots]
+        return self.data[flat_places(self.starts[slots], sizes)], sizes
+
+
+class SpanCache:
+    """Numbers of contents seen before: found by hash, then held against their values.
+
+    A content whose hash another one holds is never found, and learned anew each time.
+    """
+
+    def __init__(self):
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held = Flat(np.uint32)
+
+    def find(self, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each span's content, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        slots = self.slots[at[hit]]
+        same = self.held.sizes[slots] == sizes[hit]
+        hit, slots = hit[same], slots[same]
+        own = values[flat_places(starts[hit], sizes[hit])]
+        right = ~differing(sizes[hit], own != self.held.take(slots)[0])
+        out[hit[right]] = slots[right]
+        return out
+
+    def add(self, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Number new contents; returns the numbers."""
+        numbers = self.held.count + np.arange(len(hashes))
+        self.held.add(values[flat_places(starts, sizes)], sizes)
+        fresh, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, fresh)
+        free = np.ones(len(fresh), bool)
+        inside = at < len(self.hashes)
+        free[inside] = self.hashes[at[inside]] != fresh[inside]
+        self.hashes = np.insert(self.hashes, at[free], fresh[free])
+        self.slots = np.insert(self.slots, at[free], numbers[first[free]])
+        return numbers

@@ -24,7 +24,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import held_folders, materialize, shared_dir, shuffle_width, small_batches, text_blocks
-from .pretoken import code_points, distinct_spans, token_spans
+from .pretoken import Flat, SpanCache, code_points, distinct_spans, token_spans
 
 MAGIC = b"FIXBITS1"
 BLOCK = 4096
@@ -113,7 +112,7 @@ class CachedTokenizer:
     pre-tokens hold ``max_chars`` characters.
     """
 
-    def __init__(self, path: str, max_chars: int = 3_000_000):
+    def __init__(self, path: str, max_chars: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -123,34 +122,23 @@ class CachedTokenizer:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.blank = byte_letters()[32]
         self.max_chars = max_chars
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.words, self.ids = SpanCache(), Flat(np.uint32)
+
+    def _spelled(self, word: str) -> str:
+        """A pre-token as the vocabulary's characters, one a byte."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.blank)
+        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
     def _learn(self, words: list[str]) -> None:
-        spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
-        got = list(map(self.tokenize, spelled))
+        got = list(map(self.tokenize, map(self._spelled, words)))
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((t.id for g in got for t in g), np.uint32, int(sizes.sum()))
-        n, k = self.used, len(self.known)
-        while n + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(words) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[n : n + len(flat)] = flat
-        self.first[k : k + len(words)] = n + np.cumsum(sizes) - sizes
-        self.sizes[k : k + len(words)] = sizes
-        self.known.update(zip(words, range(k, k + len(words)), strict=True))
-        self.used += len(flat)
-        self.chars += sum(map(len, words))
+        self.ids.add(np.fromiter((t.id for g in got for t in g), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -164,23 +152,18 @@ class CachedTokenizer:
         if not len(points):
             return [np.empty(0, np.uint32)] * len(texts)
         starts, ends = token_spans(points, offsets, blanks=True)
-        codes, where = distinct_spans(points, starts, ends)
-        joined = "".join(texts)
-        words = list(map(joined.__getitem__, map(slice, starts[where].tolist(), ends[where].tolist())))
-        if self.chars > self.max_chars:
+        codes, where, hashes = distinct_spans(points, starts, ends)
+        if self.words.held.used > self.max_chars:
             self._clear()
-        first = len(self.known)
-        held = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(held < 0)
+        first, last = starts[where], ends[where]
+        known = self.words.find(points, first, last - first, hashes)
+        new = np.flatnonzero(known < 0)
         if len(new):
-            self._learn([words[k] for k in new.tolist()])
-            held[new] = np.arange(first, first + len(new))
-        slots = held[codes]
-        sizes = self.sizes[slots]
-        stops = np.cumsum(sizes)
-        at = np.repeat(self.first[slots] - (stops - sizes), sizes) + np.arange(int(stops[-1]))
-        ids = self.flat[at]
-        edges = np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
+            joined = "".join(texts)
+            self._learn([joined[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)])
+            known[new] = self.words.add(points, first[new], last[new] - first[new], hashes[new])
+        ids, sizes = self.ids.take(known[codes])
+        edges = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 

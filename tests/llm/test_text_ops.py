@@ -218,9 +218,20 @@ def test_words_that_powers_of_two_confuse(spark, monkeypatch):
         assert coded[i] == " ".join(map(str, word.encode(t, add_special_tokens=False).ids))
         assert files[i] == zlib.crc32(np.asarray([*byte.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
     assert all(r.kept for r in near_dedup.near_components(df).collect())
+    values = np.asarray([1, 2, 1, 2, 3, 1, 2, 2, 1, 2], np.uint32)
+    starts, ends = np.asarray([0, 2, 4, 5, 8]), np.asarray([2, 4, 5, 7, 10])
     monkeypatch.setattr(pretoken, "span_hashes", lambda v, s, e: np.zeros(len(s), np.uint64))
-    codes, where = pretoken.distinct_spans(np.asarray([1, 2, 1, 2, 3, 1, 2, 2, 1, 2]), np.asarray([0, 2, 4, 5, 8]), np.asarray([2, 4, 5, 7, 10]))
+    codes, where, hashes = pretoken.distinct_spans(values, starts, ends)
     assert codes.tolist() == [0, 0, 1, 0, 0] and where.tolist() == [0, 2]
+    cache = pretoken.SpanCache()  # of contents with one hash the first only is found
+    assert cache.find(values, starts[where], np.asarray([2, 1]), hashes).tolist() == [-1, -1]
+    assert cache.add(values, starts[where], np.asarray([2, 1]), hashes).tolist() == [0, 1]
+    assert cache.find(values, starts, ends - starts, np.zeros(5, np.uint64)).tolist() == [0, 0, -1, 0, 0]
+    coder = token_files.CachedTokenizer(token_files.default_vocabulary())
+    texts = [t or "" for t in TEXTS if len(t or "") < 3000]
+    for part in (texts, texts[::-1]):
+        for t, ids in zip(part, coder.encode(part), strict=True):
+            assert ids.tolist() == byte.encode(t, add_special_tokens=False).ids
 
 
 def test_merging_side_by_side():
