@@ -517,6 +517,21 @@ def test_toxicity_odd_rows(spark):
     assert len(toxicity.toxicity(wide.limit(0), marks).columns) == 4
 
 
+def plan_targets(sizes, weights=(5, 2, 1)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    total, capped = float(sum(sizes.values())), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        if not free:
+            return capped
+        left, weight = total - sum(capped.values()), sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / weight > 3 * sizes[s]]
+        if not over:
+            return capped | {s: left * w[s] / weight for s in free}
+        capped |= {s: 3.0 * sizes[s] for s in over}
+
+
 def same_rows(docs):
     """The mixed rows hold, source by source and text by text, the words that the plan takes, in whole epochs and cuts."""
     n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
