@@ -58,13 +58,18 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def checkpointed(grid: Grid) -> None:
-    """Cut the lineage of a grid through the shared folder.
+def cut(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """The frame without its lineage, through the shared folder.
 
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` has Spark remove the files with the frame.
     """
-    shared_folder(grid.session.spark)
-    grid.frame = grid.frame.checkpoint(eager=True)
+    shared_folder(spark)
+    return frame.checkpoint(eager=True)
+
+
+def checkpointed(grid: Grid) -> None:
+    """Cut the lineage of a grid."""
+    grid.frame = cut(grid.session.spark, grid.frame)
 
 
 class Grid:

@@ -6,9 +6,9 @@ import time
 from dataclasses import dataclass, field
 
 from ..plans.trace import BLACK, RED, StencilMap
-from .grids import Grid, checkpointed
+from .grids import Grid, checkpointed, cut
 from .stencil import apply_map
-from .tiles import batches, run_tiles, steps_on_tiles, tileable
+from .tiles import batches, grids_of, joined, parted, run_tiles, steps_on_tiles, tileable
 
 CHECKPOINT_EVERY = 4
 
@@ -47,12 +47,13 @@ def run(
     if strategy == "tile":
         if not tileable(steps):
             raise ValueError("tiles need straight reads, scalar members and grids of equal extents")
-        parts = list(batches(steps, steps_per_shuffle))
-        for k, part in enumerate(parts):
-            grids = run_tiles(part, tile)
-            if k + 1 < len(parts):
-                for g in grids:
-                    checkpointed(g)
+        parts, grids = list(batches(steps, steps_per_shuffle)), grids_of(steps)
+        frame = joined(grids)
+        for k, part in enumerate(parts, 1):
+            frame = run_tiles(frame, grids, part, tile)
+            if k < len(parts):  # all grids stay side by side, computed and written once a part
+                frame = cut(grids[0].session.spark, frame)
+        parted(frame, grids, steps)
         out.seconds = time.perf_counter() - began
         return out
     for k, (m, color) in enumerate(steps, 1):

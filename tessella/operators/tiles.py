@@ -83,29 +83,38 @@ def _dealt(frame: DataFrame, dims: tuple[int, ...], tile: tuple[int, ...], width
     return frame
 
 
-def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Grid]:
-    """Run all steps in one shuffle; returns the grids written."""
-    grids: dict[int, Grid] = {}
-    for m, _ in steps:
-        for a in m.args.values():
-            if isinstance(a, Grid):
-                grids.setdefault(id(a), a)
-    order = list(grids.values())
-    dims = order[0].dims
+def grids_of(steps: list[Step]) -> list[Grid]:
+    """All grids that some steps read or write, each once."""
+    return list({id(a): a for m, _ in steps for a in m.args.values() if isinstance(a, Grid)}.values())
+
+
+def joined(grids: list[Grid]) -> DataFrame:
+    """The cells of several grids side by side; member ``m`` of grid i is ``g{i}_m``."""
+    frame = None
+    for i, g in enumerate(grids):
+        part = g.frame.select(*g.axes, *(F.col(m).alias(f"g{i}_{m}") for m in g.type.members))
+        frame = part if frame is None else frame.join(part, list(g.axes))
+    return frame
+
+
+def parted(frame: DataFrame, grids: list[Grid], steps: list[Step]) -> None:
+    """Give the grids that some steps write their cells of a joined frame."""
+    for i, g in enumerate(grids):
+        if any(m.args[e.arg] is g for m, _ in steps for e in m.traced.emits):
+            g.frame = frame.select(*g.axes, *(F.col(f"g{i}_{m}").alias(m) for m in g.type.members))
+
+
+def run_tiles(frame: DataFrame, grids: list[Grid], steps: list[Step], tile: tuple[int, ...] | None = None) -> DataFrame:
+    """The joined frame of ``grids`` after all steps, in one shuffle."""
+    dims = grids[0].dims
     rank, axes = len(dims), AXES[: len(dims)]
     tile = tile or tuple(max(1, min(n, EDGE[rank])) for n in dims)
     width = halo(steps, rank)
     if any(h > n for h, n in zip(width, dims, strict=True)):
         raise ValueError("the halo is wider than the grid: run fewer steps a shuffle")
     wraps = any(g.periodic for m, _ in steps for g in m.traced.reads.values())
-    frame = None
-    for i, g in enumerate(order):
-        part = g.frame.select(*axes, *(F.col(m).alias(f"g{i}_{m}") for m in g.type.members))
-        frame = part if frame is None else frame.join(part, list(axes))
-    place = {id(g): i for i, g in enumerate(order)}
-    kinds = {f"g{i}_{m}": k.kind for i, g in enumerate(order) for m, k in g.type.members.items()}
-    written = [g for g in order if any(m.args[e.arg] is g for m, _ in steps for e in m.traced.emits)]
-    out_names = [f"g{place[id(g)]}_{m}" for g in written for m in g.type.members]
+    place = {id(g): i for i, g in enumerate(grids)}
+    kinds = {f"g{i}_{m}": k.kind for i, g in enumerate(grids) for m, k in g.type.members.items()}
     # plain data only goes to the workers: expressions, and the place of each argument
     plan = [
         (m.domain.ranges, color, [(f"g{place[id(m.args[e.arg])]}_{e.member}", e.value, e.condition) for e in m.traced.emits],
@@ -113,8 +122,6 @@ def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Gr
         for m, color in steps
     ]
 
-    own = dict(kinds)
-
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         key = [k.as_py() for k in key]
         low = [k * t - h for k, t, h in zip(key, tile, width, strict=True)]
@@ -149,19 +156,15 @@ def run_tiles(steps: list[Step], tile: tuple[int, ...] | None = None) -> list[Gr
                     mask = here if condition is None else here & np.asarray(array(condition, read, coords)).astype(bool)
                     new.append((name, mask, np.broadcast_to(np.asarray(array(value, read, coords)), shape)))
                 for name, mask, value in new:
-                    held[name] = np.where(mask, converted(value, own[name]), held[name])
+                    held[name] = np.where(mask, converted(value, kinds[name]), held[name])
         core = tuple(slice(h, s - h) for h, s in zip(width, shape, strict=True))
         spots = np.indices(tuple(c.stop - c.start for c in core)).reshape(rank, -1)
         data = {a: (spots[k] + key[k] * tile[k]).astype("int32") for k, a in enumerate(axes)}
-        return pa.table(data | {n: np.ascontiguousarray(held[n][core]).reshape(-1) for n in out_names})
+        return pa.table(data | {n: np.ascontiguousarray(held[n][core]).reshape(-1) for n in kinds})
 
     names = {"int": "int", "long": "bigint", "float": "float", "double": "double"}
-    schema = ", ".join([f"{a} int" for a in axes] + [f"{n} {names[kinds[n]]}" for n in out_names])
-    done = _dealt(frame, dims, tile, width, wraps).groupBy(*(f"k{a}" for a in axes)).applyInArrow(work, schema)
-    for g in written:
-        i = place[id(g)]
-        g.frame = done.select(*axes, *(F.col(f"g{i}_{m}").alias(m) for m in g.type.members))
-    return written
+    schema = ", ".join([f"{a} int" for a in axes] + [f"{n} {names[k]}" for n, k in kinds.items()])
+    return _dealt(frame, dims, tile, width, wraps).groupBy(*(f"k{a}" for a in axes)).applyInArrow(work, schema)
 
 
 def batches(steps: list[Step], size: int) -> Iterator[list[Step]]:
