@@ -12,12 +12,13 @@ zero whose gradients do not outweigh a penalty; a term that ends with neither is
 not looked up in scoring.
 
 Fitting uses at most ``MAX_TRAIN`` labelled documents (the first by a hash of the
-id, one text of each): their terms go to the driver, where the machine is fitted.
-Scoring is one pass over whole texts.
+id, one text of each): their terms go to one task, where the machine is fitted, and
+only the fitted machine goes to the driver.  Scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -237,14 +238,16 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), *packed], ["doc_id", "label", "places", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
-    """Fit on labelled documents outside the held-out third, at most ``max_train`` of them.
+def _machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the pickled machine that all of the partition's rows give."""
+    none = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
+    held = [b for b in batches if len(b)]
+    sample = pa.Table.from_batches(held) if held else none.empty_table()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine(sample))], pa.binary())], ["model"])
 
-    Rows with a null label or id are left out; an id that is labelled twice has
-    the higher label, and one that stands in several rows gives one text.
-    Without labelled rows of both classes every text scores 0.5.
-    """
-    small_batches(docs.sparkSession)
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, label, places, counts) of the labelled documents that ``fit`` learns from."""
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_col())
     sample = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -252,7 +255,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), F.col("text")))["text"].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return machine(texts.mapInArrow(_term_rows, f"doc_id {kind}, label int, places binary, counts binary").toArrow())
+    return texts.mapInArrow(_term_rows, f"doc_id {kind}, label int, places binary, counts binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
+    """Fit on labelled documents outside the held-out third, at most ``max_train`` of them.
+
+    Rows with a null label or id are left out; an id that is labelled twice has
+    the higher label, and one that stands in several rows gives one text.
+    Without labelled rows of both classes every text scores 0.5.  The sample's
+    terms meet in one task; the driver gets the machine alone.
+    """
+    small_batches(docs.sparkSession)
+    got = training_rows(docs, labels, label_col, max_train).repartition(1).mapInArrow(_machines, "model binary").collect()
+    return pickle.loads(got[0].model if got else next(_machines(iter(()))).column(0)[0].as_py())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:

@@ -185,6 +185,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, one_task):
+    """Stars, paths in shuffled order and loops; few edges take few jobs."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = np.random.default_rng(3)
+    names = rng.permutation(400).astype(np.int64) * 7 - 900
+    edges = [(names[i], names[i + 1]) for i in range(99)] + [(names[100], names[k]) for k in range(101, 180)] + [(names[200], names[200])]
+    edges += [(names[300 + i], names[300 + j]) for i, j in rng.integers(0, 100, (70, 2))]
+    edges = [(int(a), int(b)) for a, b in edges]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    before = spark.range(1).count() and len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert not one_task or jobs <= 10
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     import corpus_pipeline
     from tests_llm_fixture import corpus

@@ -517,6 +517,23 @@ def test_toxicity_odd_rows(spark):
     assert len(toxicity.toxicity(wide.limit(0), marks).columns) == 4
 
 
+def test_machine_is_fitted_outside_the_driver(spark, monkeypatch):
+    """The driver fits nothing itself and gets the machine that the sample gives in any order of its rows."""
+    df, labels = labelled(spark)
+    sample = toxicity.training_rows(df, labels).toArrow()
+    want = [toxicity.machine(sample), toxicity.machine(sample.take(np.random.default_rng(2).permutation(len(sample))))]
+
+    def refuse(sample):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "machine", refuse)
+    got = toxicity.fit(df, labels)
+    for model in want:
+        assert np.array_equal(got.slot, model.slot) and got.bias == model.bias
+        assert np.array_equal(got.weights, model.weights) and np.array_equal(got.factors, model.factors)
+    assert len(got.weights) > 0
+
+
 def plan_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[k % 3] for k, s in enumerate(names)}
